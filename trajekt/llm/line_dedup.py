@@ -83,5 +83,6 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, id_c
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.int32()), pa.array(dropped, pa.int32())], [*names, "kept_lines", "dropped_lines"])
 
-    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(drops, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left")
+    # Always a merge join: the table of drops grows with the documents, and the plan is the same at every size.
+    joined = docs.select(*[F.col(f"`{c}`") for c in names]).join(drops.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left")
     return joined.select(*[F.col(f"`{c}`") for c in names], "__drop").mapInArrow(rebuild, schema)
