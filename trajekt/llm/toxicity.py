@@ -107,15 +107,21 @@ def label_model(votes: np.ndarray, gold: np.ndarray, rounds: int = 25) -> tuple[
     return post, discount
 
 
-def linear_classifier(x: np.ndarray, y: np.ndarray, l2: float = 0.3, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient descent."""
-    n, m = x.shape
+def linear_classifier(x: np.ndarray, y: np.ndarray, l2: float = 0.05, rounds: int = 1500) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient descent; equal rows are taken together."""
+    total = len(x)
+    x, inverse = np.unique(x, axis=0, return_inverse=True)
+    many = np.bincount(inverse.ravel(), minlength=len(x)).astype(float)
+    y = np.bincount(inverse.ravel(), y, len(x)) / many
+    many /= total
+    n, m = total, x.shape[1]
     w, b = np.zeros(m), 0.0
     u, c = w.copy(), b
-    rate = 4 * n / (np.square(x).sum() / max(1, n) * 1.0 + 1) / n
+    rate = 4 / ((many @ np.square(x)).sum() + 1)
     for t in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ u + c, -30, 30)))
-        gw, gb = x.T @ (p - y) / n + l2 * u / n, (p - y).mean()
+        gap = many * (p - y)
+        gw, gb = x.T @ gap + l2 * u / n, gap.sum()
         nw, nb = u - rate * gw, c - rate * gb
         k = t / (t + 3)
         u, c = nw + k * (nw - w), nb + k * (nb - b)
@@ -163,10 +169,8 @@ def train(
         votes[k, r["votes"]] = 1
         votes[k, len(vocabulary) :] = r["patterns"]
     gold = np.array([r["y"] for r in got], float)
-    post, discount = label_model(votes, gold)
-    x = votes * np.sqrt(discount)  # voters that repeat others share their weight
-    w, bias = linear_classifier(x, post)
-    w = w * np.sqrt(discount)
+    post, _ = label_model(votes, gold)
+    w, bias = linear_classifier(votes.astype(np.float64), post)
     return Model({unit: float(w[k]) for unit, k in vocabulary.items()}, [float(v) for v in w[len(vocabulary) :]], bias)
 
 
