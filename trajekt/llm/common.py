@@ -150,6 +150,35 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+class Forest:
+    """Links seen by one task, thinned to those that join something new; forgets itself at `limit` nodes."""
+
+    def __init__(self, limit: int = 500_000):
+        self.limit = limit
+        self.up: dict[int, int] = {}
+
+    def _root(self, x: int) -> int:
+        up = self.up
+        root = x
+        while (parent := up.get(root, root)) != root:
+            root = parent
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def new(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Mask of the links that no chain of links before them implies."""
+        if len(self.up) > self.limit:
+            self.up = {}
+        out = np.zeros(len(a), bool)
+        for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+            x, y = self._root(x), self._root(y)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                out[k] = True
+        return out
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of links (a, b), both long: rows (node, root), root the least node reachable.
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, least_labels, mix, text_slices, whole_groups, word_hashes, written
+from .common import Forest, components, least_labels, mix, text_slices, whole_groups, word_hashes, written
 
 # Components of a signature, 16 bits each, and the chunks that pigeonhole splits them into. With one
 # error allowed in a chunk, two signatures that differ in at most 2 * CHUNKS - 1 components agree, but
@@ -116,7 +116,9 @@ def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block pair of a bucket: a spanning forest of the pairs within RADIUS."""
+    """Per block pair of a bucket, the pairs within RADIUS; of these the task's spanning forest, as the buckets of a
+    group share most links."""
+    forest = Forest()
     for table, starts in whole_groups(batches, ["key", "lo", "hi"]):
         reps = table["rep"].to_numpy()
         sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, COMPONENTS)
@@ -143,6 +145,8 @@ def _close_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             out_a.append(ids[linked])
             out_b.append(ids[label[linked]])
         a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (out_a, out_b))
+        new = forest.new(a, b)
+        a, b = a[new], b[new]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
