@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 # Overlay colours (blue, green, red), used in turn.
 PALETTE = (
-    (0, 255, 255), (255, 0, 255), (255, 255, 0), (0, 128, 255), (0, 255, 0), (255, 0, 0),
-    (0, 0, 255), (255, 128, 0), (128, 0, 255), (0, 255, 128), (255, 0, 128), (128, 255, 0),
-)
+    (0, 255, 255),
+    (255, 255, 0),
+    (255, 0, 255),
+    (0, 165, 255),
+    (0, 255, 0),
+    (255, 0, 0),
+    (0, 0, 255),
+    (255, 128, 0),
+    (128, 255, 0),
+    (255, 0, 128),
+    (128, 0, 255),
+    (0, 128, 255),
+)
 DEFAULT_COLOR = (0, 255, 255)
 
 
@@ -105,7 +115,7 @@ def detection_label(name: Column, cls: Column, score: Column, with_score: bool =
     """Class name and score with one digit, or the class id alone."""
     if not with_score:
         return cls.cast("string")
-    return F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.format_number(score, "0.0"))
+    return F.concat(F.coalesce(name, F.lit("")), F.lit(" "), F.format_string("%.1f", F.bround(score.cast("double"), 1)))
 
 
 def first_parsable_timestamp(df, text: str = "text", frame: str = "frame", pattern: str = "yyyy-MM-dd HH:mm:ss"):
