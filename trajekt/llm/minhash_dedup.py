@@ -11,16 +11,25 @@ from pyspark.sql import functions as F
 
 from .common import Forest, components, least_labels, mix, text_slices, whole_groups, word_hashes, written
 
-# Components of a signature, 16 bits each, and the chunks that pigeonhole splits them into. With one
-# error allowed in a chunk, two signatures that differ in at most 2 * CHUNKS - 1 components agree, but
-# for one component, in some chunk.
+# Components of a signature, 16 bits each.
 COMPONENTS = 64
-CHUNKS = 12
-RADIUS = 2 * CHUNKS - 1
 # Members of a bucket, and documents of a candidate group, that are compared at a time.
 BUCKET_BLOCK = 256
 VERIFY_BLOCK = 64
 
+
+
+def chunks_for(similarity: float, errors: float = 4.5) -> int:
+    """Chunks that pigeonhole splits a signature into, one error being allowed in a chunk.
+
+    Two signatures that differ in at most radius = 2 * chunks - 1 components agree, but for one component, in
+    some chunk. The radius lies `errors` standard deviations above what the least similarity lets differ.
+    """
+    apart = 1 - similarity
+    most = COMPONENTS * apart + errors * (COMPONENTS * apart * similarity) ** 0.5
+    return int(min(COMPONENTS // 2, max(1, np.ceil((most + 0.5) / 2))))
+
+
 _RNG = np.random.default_rng(20240229)
 _XOR = _RNG.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, COMPONENTS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,11 +78,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def chunk_keys(sigs: np.ndarray) -> np.ndarray:
+def chunk_keys(sigs: np.ndarray, chunks: int) -> np.ndarray:
     """For each signature, a key per chunk and component left out (the allowed error)."""
     each = mix(sigs.astype(np.uint64) * _KEY + np.arange(COMPONENTS, dtype=np.uint64))
     out = np.zeros_like(each)
-    for chunk in np.array_split(np.arange(COMPONENTS), CHUNKS):
+    for chunk in np.array_split(np.arange(COMPONENTS), chunks):
         whole = each[:, chunk].sum(axis=1, dtype=np.uint64)
         for k in chunk:
             out[:, k] = mix(whole - each[:, k] + _KEY[k])
@@ -106,48 +115,54 @@ def _describe(words: int):
     return run
 
 
-def _emit_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-            keys = chunk_keys(sigs)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), COMPONENTS)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "rep"])
-
-
-def _close_signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per block pair of a bucket, the pairs within RADIUS; of these the task's spanning forest, as the buckets of a
-    group share most links."""
-    forest = Forest()
-    for table, starts in whole_groups(batches, ["key", "lo", "hi"]):
-        reps = table["rep"].to_numpy()
-        sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, COMPONENTS)
-        size = np.diff(starts)
-        out_a, out_b = [], []
-        two = starts[:-1][size == 2]
-        for k in range(0, len(two), 8192):
-            t = two[k : k + 8192]
-            near = (sigs[t] != sigs[t + 1]).sum(axis=1) <= RADIUS
-            out_a.append(reps[t[near]])
-            out_b.append(reps[t[near] + 1])
-        for g in np.flatnonzero(size > 2):
-            a, b = starts[g], starts[g + 1]
-            own, ids = sigs[a:b], reps[a:b]
-            order = np.argsort(ids, kind="stable")
-            own, ids = own[order], ids[order]
-            rows, cols = [], []
-            for k in range(0, b - a, 64):
-                x, y = np.nonzero((own[k : k + 64, None, :] != own[None, k:, :]).sum(axis=2, dtype=np.uint8) <= RADIUS)
-                rows.append(x + k)
-                cols.append(y + k)
-            label = least_labels(b - a, np.concatenate(rows), np.concatenate(cols))
-            linked = label != np.arange(b - a)
-            out_a.append(ids[linked])
-            out_b.append(ids[label[linked]])
-        a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (out_a, out_b))
-        new = forest.new(a, b)
-        a, b = a[new], b[new]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _emit_keys(chunks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+                keys = chunk_keys(sigs, chunks)
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), COMPONENTS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(ids)], ["key", "rep"])
+
+    return run
+
+
+def _close_signatures(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per block pair of a bucket, the pairs within radius; of these the task's spanning forest, as the buckets of a
+        group share most links."""
+        forest = Forest()
+        for table, starts in whole_groups(batches, ["key", "lo", "hi"]):
+            reps = table["rep"].to_numpy()
+            sigs = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint16).reshape(-1, COMPONENTS)
+            size = np.diff(starts)
+            out_a, out_b = [], []
+            two = starts[:-1][size == 2]
+            for k in range(0, len(two), 8192):
+                t = two[k : k + 8192]
+                near = (sigs[t] != sigs[t + 1]).sum(axis=1) <= radius
+                out_a.append(reps[t[near]])
+                out_b.append(reps[t[near] + 1])
+            for g in np.flatnonzero(size > 2):
+                a, b = starts[g], starts[g + 1]
+                own, ids = sigs[a:b], reps[a:b]
+                order = np.argsort(ids, kind="stable")
+                own, ids = own[order], ids[order]
+                rows, cols = [], []
+                for k in range(0, b - a, 64):
+                    x, y = np.nonzero((own[k : k + 64, None, :] != own[None, k:, :]).sum(axis=2, dtype=np.uint8) <= radius)
+                    rows.append(x + k)
+                    cols.append(y + k)
+                label = least_labels(b - a, np.concatenate(rows), np.concatenate(cols))
+                linked = label != np.arange(b - a)
+                out_a.append(ids[linked])
+                out_b.append(ids[label[linked]])
+            a, b = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (out_a, out_b))
+            new = forest.new(a, b)
+            a, b = a[new], b[new]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
 
 
 def _full_sets(words: int):
@@ -161,7 +176,7 @@ def _full_sets(words: int):
     return run
 
 
-def _confirm(numerator: int, denominator: int):
+def _confirm(numerator: int, denominator: int, radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per block pair of a candidate group: a spanning forest of the pairs whose full sets are similar."""
         for table, starts in whole_groups(batches, ["grp", "lo", "hi"]):
@@ -182,7 +197,7 @@ def _confirm(numerator: int, denominator: int):
                     return x
 
                 apart = (sig[:, None, :] != sig[None]).sum(axis=2, dtype=np.uint8)
-                x, y = np.nonzero(np.triu(apart <= RADIUS, 1))
+                x, y = np.nonzero(np.triu(apart <= radius, 1))
                 order = np.argsort(apart[x, y], kind="stable")  # the nearest first: the rest of their group needs no test
                 for i, j in zip(x[order].tolist(), y[order].tolist()):
                     ri, rj = root(i), root(j)
@@ -235,22 +250,24 @@ def near_duplicates(
 
     Equal sets are one class from the start, so copies are never paired. Of each class one row emits a
     key per chunk and left-out component; buckets of equal keys hold every pair of signatures that
-    differ in at most RADIUS of COMPONENTS components (at a similarity of 0.85 a pair exceeds that about
-    once in 100,000). Pairs within RADIUS give candidate groups, whose full sets confirm the links. Large
+    differ in at most a radius of the COMPONENTS components (a pair of just the threshold's similarity
+    exceeds it about once in 100,000). Pairs within it give candidate groups, whose full sets confirm the links. Large
     buckets and groups are compared in pairs of fixed-size blocks, emitting spanning forests only.
     """
+    chunks = chunks_for(threshold[0] / threshold[1])
+    radius = 2 * chunks - 1
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     about = written(d.mapInArrow(_describe(words), "id long, n long, k1 long, k2 long, sig binary"), "minhash")
     some = about.where("n > 0 and id is not null")
     classes = written(some.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")), "minhash-classes")
-    keys = classes.select("rep", "sig").mapInArrow(_emit_keys, "key long, rep long")
+    keys = classes.select("rep", "sig").mapInArrow(_emit_keys(chunks), "key long, rep long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("low"), F.bit_xor(F.xxhash64("rep")).alias("print")).where("size > 1")
     # Buckets with the same members are looked at once.
     shared = shared.groupBy("size", "low", "print").agg(F.min("key").alias("key")).select("key", "size")
     members = keys.join(shared, "key")
     members = _block_pairs(members, "key", "size", BUCKET_BLOCK).join(classes.select("rep", "sig"), "rep")
     members = members.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    close = members.select("key", "lo", "hi", "rep", "sig").mapInArrow(_close_signatures, "a long, b long")
+    close = members.select("key", "lo", "hi", "rep", "sig").mapInArrow(_close_signatures(radius), "a long, b long")
     groups = written(components(close, "minhash-close"), "minhash-groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     part = groups.join(sizes, "root").join(classes.select(F.col("rep").alias("node"), "sig"), "node")
@@ -259,7 +276,7 @@ def near_duplicates(
     sets = texts.mapInArrow(_full_sets(words), "rep long, grp long, sig binary, set binary")
     sets = _block_pairs(sets.join(sizes.withColumnRenamed("root", "grp"), "grp"), "grp", "size", VERIFY_BLOCK)
     sets = sets.repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
-    links = sets.select("grp", "lo", "hi", "rep", "sig", "set").mapInArrow(_confirm(*threshold), "a long, b long")
+    links = sets.select("grp", "lo", "hi", "rep", "sig", "set").mapInArrow(_confirm(*threshold, radius), "a long, b long")
     roots = written(components(links, "minhash-links"), "minhash-roots")
     of_class = classes.select("k1", "k2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("k1", "k2", F.coalesce("root", "rep").alias("component"))
