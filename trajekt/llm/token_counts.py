@@ -103,6 +103,8 @@ class PrefixCounter:
             part = plain[k : k + 4096]
             found.update(zip(part, self.each([w.decode() for w in part])))
         self.memo.update((w, found[c] + more) for w, (c, more) in cores.items())
+        if self.kind == "marked":
+            self.memo[b""] = 1  # a blank with nothing behind it is a mark alone
 
     def of(self, words: list[bytes]) -> np.ndarray:
         try:
