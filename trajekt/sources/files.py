@@ -86,7 +86,7 @@ def write_time_map(df: DataFrame, path: str) -> None:
 
 def load_class_dict(spark: SparkSession, path: str) -> DataFrame:
     """(id, name) by line number; blank lines are left out but keep their number. One file of names, read on the driver."""
-    names = [r["value"] for r in spark.read.option("wholetext", True).text(path).collect()]
+    names = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
     lines = names[0].splitlines() if names else []
     return spark.createDataFrame([(k, n.strip()) for k, n in enumerate(lines) if n.strip()], "id int, name string")
 
