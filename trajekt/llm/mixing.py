@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-# Pieces of the seeded order within a source that are summed before any row is looked at singly.
-PIECES = 4096
+# The seeded order within a source is cut into 2 ** PIECE_BITS pieces, which are summed before any row is looked at singly.
+PIECE_BITS = 12
 
 
 def word_count(text: Column) -> Column:
@@ -16,6 +16,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def place(seed: int, key: Column, text: Column) -> Column:
+    """Place in the seeded order: the first 60 bits of an MD5 of seed, id and text."""
+    whole = F.concat_ws("|", F.lit(str(seed)), F.coalesce(key.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...], max_epochs: float) -> DataFrame:
     """Water-filling over (source, source_size): adds weight, cap and target.
 
@@ -63,7 +69,7 @@ def mix_sources(
     (long) (clashing names are replaced). Null text: size 0, taken 0. A null source is a source of its
     own. Repeated rows share what is left at the cut evenly. Empty input gives an empty result.
 
-    The order is a seeded hash of id and text. Sums over PIECES ranges of it per source find the range
+    The order is a seeded hash of id and text. Sums over 4096 ranges of it per source find the range
     where the rest ends; only the rows of that range are ordered singly, so a hot source neither
     meets in one task nor is sorted. Texts are not shuffled: the per-source and cut tables are written
     and joined by the planner's choice from their real sizes.
@@ -74,9 +80,9 @@ def mix_sources(
         *cols,
         F.col(f"`{source_col}`").cast("string").alias("__s"),
         word_count(F.col(f"`{text_col}`")).alias("__n"),
-        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__h"),
+        place(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__h"),
     )
-    piece = F.floor(F.pmod(F.col("h"), F.lit(1 << 40)) / F.lit((1 << 40) // PIECES)).cast("int")
+    piece = F.shiftright("h", 60 - PIECE_BITS).cast("int")
     narrow = written(keyed.select(F.col("__s").alias("source"), F.col("__n").alias("n"), F.col("__h").alias("h")).withColumn("piece", piece), "mix-sizes")
     sums = written(narrow.groupBy("source", "piece").agg(F.sum("n").alias("words")), "mix-pieces")
     plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
@@ -100,7 +106,7 @@ def mix_sources(
     ends = ranges.where("words > 0 and before + words <= rest").groupBy(F.col("source").alias("s4")).agg(F.max("piece").alias("last"))
     whole = whole.join(ends, F.col("source").eqNullSafe(F.col("s4")), "left")
     whole = written(whole.select(F.col("source").alias("p_s"), "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last")), "mix-whole")
-    out = keyed.withColumn("__p", F.floor(F.pmod(F.col("__h"), F.lit(1 << 40)) / F.lit((1 << 40) // PIECES)).cast("int"))
+    out = keyed.withColumn("__p", F.shiftright("__h", 60 - PIECE_BITS).cast("int"))
     out = out.join(whole, F.col("__s").eqNullSafe(F.col("p_s")), "left")
     out = out.join(singles, F.col("__s").eqNullSafe(F.col("c_s")) & (F.col("__h") == F.col("c_h")), "left")
     extra = F.when(F.col("__p") <= F.col("last"), F.col("__n")).otherwise(F.coalesce("extra", F.lit(0)))

@@ -107,5 +107,61 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+REACH = """reach(node, root) as (
+    select a, b from links union select l.a, r.root from links l join reach r on l.b = r.node
+), least as (select node, min(root) as root from reach group by node)"""
+
+OP1_SQL = rf"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), shingles as (
+    select distinct doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+        when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as s from words
+), sizes as (select doc_id, count(*) as n from shingles group by doc_id
+), shared as (select a.doc_id as x, b.doc_id as y, count(*) as c from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by all
+), pairs as (select x, y from shared join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * c >= 85 * (p.n + q.n - c)
+), links(a, b) as (select x, y from pairs union all select y, x from pairs), {REACH}
+select d.doc_id, coalesce(n, 0) as n_shingles, least(d.doc_id, coalesce(root, d.doc_id)) as component_id, d.doc_id <= coalesce(root, d.doc_id) as kept
+from documents d left join sizes using (doc_id) left join least on node = d.doc_id
+"""
+
+OP6_SQL = r"""
+with sizes as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+           ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')), 1, 15))::bigint as h from documents
+), sources as (
+    select source, sum(size)::bigint as source_size from sizes group by source
+), weighed as (
+    select *, list_extract([5.0, 2.0, 1.0]::double[], 1 + (row_number() over (order by source is null, encode(source)) - 1) % 3) as weight, source_size * 3.0::double as cap from sources
+), levels as (
+    select *, sum(source_size) over ()::double - coalesce(sum(cap) over upto, 0) as left_, sum(weight) over () - coalesce(sum(weight) over upto, 0) as open_, cap / weight as level
+    from weighed window upto as (order by cap / weight, source is null, encode(source) rows between unbounded preceding and 1 preceding)
+), water as (
+    select *, case when left_ > 0 then left_ / open_ else 0 end as water from levels
+), plan as (
+    select source, source_size, least(cap, coalesce(weight * (select arg_min(water, level) from water where water <= level), cap)) as target from water
+), parts as (
+    select *, case when source_size > 0 then floor(target / source_size) else 0 end::bigint as whole from plan
+), rest as (
+    select *, greatest(floor(target - whole * source_size)::bigint, 0) as rest from parts
+), placed as (
+    select s.*, r.source_size, r.target, r.whole, r.rest, coalesce(sum(size) over (partition by s.source order by h rows between unbounded preceding and 1 preceding), 0) as before
+    from sizes s join rest r on s.source is not distinct from r.source
+)
+select doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::bigint as taken from placed
+"""
+
+OP7_SQL = f"""
+with recursive v as (
+    select vec_id, label, embedding::double[] as e from embeddings
+    where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links(a, b) as (
+    select p.vec_id, q.vec_id from v p join v q on p.label = q.label and p.vec_id <> q.vec_id and len(p.e) = len(q.e) where list_cosine_similarity(p.e, q.e) >= 0.93
+), {REACH}, counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(root, vec_id)) as component_id, vec_id <= coalesce(root, vec_id) as kept
+from embeddings left join counts on a = vec_id left join least on node = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL}
+    return {"op1_minhash_dedup": OP1_SQL, "op6_source_mix": OP6_SQL, "op7_embedding_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL}
