@@ -315,3 +315,12 @@ def test_nms_keeps_the_best(spark):
     rows = [(0, 1, 0.0, 0.0, 10.0, 10.0, 0.9), (0, 1, 1.0, 0.0, 10.0, 10.0, 0.8), (0, 1, 50.0, 0.0, 10.0, 10.0, 0.1)]
     df = spark.createDataFrame(rows, "frame int, class int, x double, y double, w double, h double, conf double")
     assert values(boxes.nms(df, 0.5), "conf") == [(0.1,), (0.9,)]
+
+
+def test_track_batch_skips_what_is_there(spark, tmp_path):
+    for v in ("a", "b"):
+        (tmp_path / f"{v}_iou.txt").write_text("".join(f"{f},-1,{10 + f},20,30,60,0.9,0\n" for f in range(5)))
+    first = tracking.track_batch(spark, [str(tmp_path / "a_iou.txt")], str(tmp_path / "out"))
+    assert values(first, "video_id", "rows") == [("a", 5)]
+    tracking.track_batch(spark, [str(tmp_path / f"{v}_iou.txt") for v in "ab"], str(tmp_path / "out"))
+    assert values(spark.read.csv(str(tmp_path / "out")).groupBy("video_id").count(), "video_id", "count") == [("a", 5), ("b", 5)]

@@ -257,3 +257,20 @@ def track(dets: DataFrame, config: MOTBaseConfig | None = None, by: Sequence[str
 
     kinds = "".join(f"`{c}` {dets.schema[c].dataType.simpleString()}, " for c in keys)
     return dets.groupBy(*(keys or [F.lit(0)])).applyInPandas(run, kinds + OUT)
+
+
+def track_batch(spark, det_paths: Sequence[str], out_path: str, config: MOTBaseConfig | None = None, overwrite: bool = False, suffix: str = "_iou", output_score_cls: bool = True) -> DataFrame:
+    """Track many detection files at once, the video id being the file's stem without suffix, and write headerless track
+    tables under out_path/video_id=.... Videos already there are skipped unless overwritten. Returns the manifest of the
+    videos tracked (video_id, rows)."""
+    from ..sources.files import read_detections
+
+    dets = read_detections(spark, list(det_paths), video_from_name=suffix)
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    if there and not overwrite:
+        done = spark.read.option("basePath", out_path).option("inferSchema", False).csv(out_path).select(F.col("video_id").cast("string").alias("video_id")).distinct()
+        dets = dets.join(done, "video_id", "left_anti")
+    out = track(dets, config, output_score_cls=output_score_cls)
+    out.write.mode("overwrite" if overwrite else "append").partitionBy("video_id").csv(out_path)
+    return dets.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows"))
