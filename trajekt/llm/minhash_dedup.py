@@ -14,8 +14,8 @@ from .common import Forest, components, least_labels, mix, text_slices, whole_gr
 # Components of a signature, 16 bits each.
 COMPONENTS = 64
 # Members of a bucket, and documents of a candidate group, that are compared at a time.
-BUCKET_BLOCK = 256
-VERIFY_BLOCK = 64
+BUCKET_BLOCK = 1024
+VERIFY_BLOCK = 128
 
 
 
