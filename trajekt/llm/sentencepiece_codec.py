@@ -220,6 +220,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
                 values = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts]))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(same, pa.bool_())], [*names, "piece_ids", "round_trip"])
+        c.memo, c.older = {}, {}  # workers live on after their task
 
     return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
 
