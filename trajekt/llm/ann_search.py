@@ -14,7 +14,7 @@ SEED = 404
 COLUMNS = 16
 # Standard errors by which a partial product must miss the query's k-th best before a candidate is abandoned.
 ERRORS = 3.5
-LIST_BLOCK = 1024
+LIST_BLOCK = 8192
 QUERY_BLOCK = 256
 
 
