@@ -75,7 +75,7 @@ class Compressors:
         return [sum(len(c(b)) for b in blocks) for c in self.each]
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, min_margin: float = 0.01, level: int = 1, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], *, min_margin: float = 0.01, level: int = 6, text_col: str = "text") -> DataFrame:
     """Predict each text's language.
 
     docs: any columns; only text_col is read. The whole text, lower-cased, is compressed with every
