@@ -146,11 +146,11 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.bround(c, 6) for c in cols})
 
 
-add("box_iou_pairs", lambda s, d: _rounded(boxes.box_iou(*_two(s, d)), "iou"), with_tables(f"with {PAIRS}, q as (select *, {INTER.format('')} as i from p) select frame, a_id, b_id, round(i / greatest(aw * ah + bw * bh - i, 1e-6), 6) as iou from q", "det"))
+add("box_iou_pairs", lambda s, d: _rounded(boxes.box_iou(*_two(s, d)), "iou"), with_tables(f"with {PAIRS}, q as (select *, {INTER.format('')} as i from p) select frame, a_id, b_id, round_even(i / greatest(aw * ah + bw * bh - i, 1e-6), 6) as iou from q", "det"))
 add("box_iou_inclusive", lambda s, d: _rounded(boxes.box_iou(*_two(s, d), inclusive=True), "iou"),
-    with_tables(f"with {PAIRS}, q as (select *, {INTER.format(' + 1')} as i from p) select frame, a_id, b_id, round(i / ((aw + 1) * (ah + 1) + (bw + 1) * (bh + 1) - i), 6) as iou from q", "det"))
+    with_tables(f"with {PAIRS}, q as (select *, {INTER.format(' + 1')} as i from p) select frame, a_id, b_id, round_even(i / ((aw + 1) * (ah + 1) + (bw + 1) * (bh + 1) - i), 6) as iou from q", "det"))
 add("box_iob_pairs", lambda s, d: _rounded(boxes.box_iob(*_two(s, d)), "iob_a", "iob_b"),
-    with_tables(f"with {PAIRS}, q as (select *, {INTER.format('')} as i from p) select frame, a_id, b_id, round(i / (aw * ah), 6) as iob_a, round(i / (bw * bh), 6) as iob_b from q", "det"))
+    with_tables(f"with {PAIRS}, q as (select *, {INTER.format('')} as i from p) select frame, a_id, b_id, round_even(i / (aw * ah), 6) as iob_a, round_even(i / (bw * bh), 6) as iob_b from q", "det"))
 add("box_reference_points", lambda s, d: X.detections(s, d).select("id", *[c.alias(n) for n, c in zip(("px", "py"), G.ref_point("cr", (1.5, -2)))], G.area().alias("area")),
     with_tables("select id, x + w + 1.5::double as px, y + h / 2 - 2 as py, w * h as area from det", "det"))
 
@@ -166,7 +166,7 @@ add("track_fill_frames", lambda s, d: sequence.fill_frames(X.tracks(s, d), 30),
 add("track_fill_attributes", lambda s, d: _rounded(sequence.fill_attributes(X.tracks(s, d).withColumn("cls", F.expr("cast(event_id % 4 as int)"))), "score"),
     with_tables("""with n as (select track, cast(event_id % 4 as int) as cls, count(*) as n from trk group by all),
         m as (select track, cls from n qualify row_number() over (partition by track order by n desc, cls) = 1)
-        select track, cls, round(score, 6) as score from m join (select track, avg(score) as score from trk group by track) using (track)""", "trk"))
+        select track, cls, round_even(score, 6) as score from m join (select track, avg(score) as score from trk group by track) using (track)""", "trk"))
 add("sliding_sum", lambda s, d: sequence.sliding_sum(X.signals(s, d), "detection", 20, ["signal"]),
     with_tables("""select frame, signal, detection, cast(n as bigint) as count from (select *, sum(detection) over (partition by signal order by frame rows between current row and 19 following) as n,
         count(*) over (partition by signal) - row_number() over (partition by signal order by frame) as rest from sig) where rest >= 20""", "sig"))
@@ -203,14 +203,14 @@ DESC = """r as (select *, x + w / 2 as cx, y + h / 2 as cy, row_number() over (p
     k as (select track, min(cls) as cls, min(frame) as t_start, max(frame) as t_end, arg_min(cx, frame) as start_cx, arg_min(cy, frame) as start_cy, arg_max(cx, frame) as end_cx, arg_max(cy, frame) as end_cy,
           arg_max(w, frame) * arg_max(h, frame) as area_end, regr_slope(cx, frame) filter (where back <= 5) as vx, regr_slope(cy, frame) filter (where back <= 5) as vy from r where n >= 2 group by track)"""
 DCOLS = ["track", "cls", "t_start", "t_end", "start_cx", "start_cy", "end_cx", "end_cy", "area_end", "vx", "vy"]
-add("link_descriptors", lambda s, d: _rounded(linking.descriptors(X.tracklets(s, d)).select(*DCOLS), "vx", "vy"), with_tables(f"with {DESC} select {', '.join(DCOLS[:-2])}, round(vx, 6) as vx, round(vy, 6) as vy from k", "lnk"))
+add("link_descriptors", lambda s, d: _rounded(linking.descriptors(X.tracklets(s, d)).select(*DCOLS), "vx", "vy"), with_tables(f"with {DESC} select {', '.join(DCOLS[:-2])}, round_even(vx, 6) as vx, round_even(vy, 6) as vy from k", "lnk"))
 COST = """, c as (select a.track as a_track, b.track as b_track, a.t_end as a_end, b.t_start as b_start, b.t_start - a.t_end as dt, a.area_end,
         sqrt((a.end_cx + a.vx * (b.t_start - a.t_end) - b.start_cx) ** 2 + (a.end_cy + a.vy * (b.t_start - a.t_end) - b.start_cy) ** 2) as dist,
         greatest(50 - abs(a.end_cx + a.vx * (b.t_start - a.t_end) - b.start_cx), 0) * greatest(100 - abs(a.end_cy + a.vy * (b.t_start - a.t_end) - b.start_cy), 0) as i
         from k a join k b on a.cls = b.cls and b.t_start - a.t_end between 1 and 20),
     e as (select *, i / (10000 - i) as iou from c where dist < 2.5 * sqrt(area_end) * (1 + 0.03 * dt) and i / (10000 - i) >= 0.05)"""
 add("link_candidates", lambda s, d: _rounded(linking.candidates(linking.descriptors(X.tracklets(s, d))), "dist", "iou", "cost"),
-    with_tables(f"with {DESC}{COST} select a_track, b_track, a_end, b_start, dt, round(dist, 6) as dist, round(iou, 6) as iou, round(dist / (sqrt(area_end) + 1e-6) + 1 - iou, 6) as cost from e", "lnk"))
+    with_tables(f"with {DESC}{COST} select a_track, b_track, a_end, b_start, dt, round_even(dist, 6) as dist, round_even(iou, 6) as iou, round_even(dist / (sqrt(area_end) + 1e-6) + 1 - iou, 6) as cost from e", "lnk"))
 add("link_tracklets", lambda s, d: linking.link_tracklets(X.tracklets(s, d)).select("frame", "track", "x", "y", "cls", "interp"),
     with_tables(f"""with {DESC}, u as (select *, track // 1000 as usr from k),
         s as (select *, case when t_start - lag(t_end) over (partition by usr order by t_start) between 1 and 20 then 0 else 1 end as brk from u),
@@ -250,7 +250,7 @@ BEST = """m as (select track, class, frame, x, y, w, h, max(greatest(least(x + w
     from top join d using (frame) group by all), a as (select track, class, coalesce(avg(best) filter (where best >= 0.5), 0) as avg_score from m group by all)"""
 add("reclass_top_frames", lambda s, d: reclass.top_frames(X.tracks(s, d)).select("frame", "track", "x", "y", "w", "h"), with_tables(f"with {TOP} select frame, track, x, y, w, h from top", "trk"))
 add("reclass_match", lambda s, d: _rounded(reclass.match_detections(X.tracks(s, d), X.detections(s, d), 0.5, (1, 3)), "avg_score"),
-    with_tables(f"with {TOP}, {DETS}, {BEST} select track, class, round(avg_score, 6) as avg_score, avg_score >= 0.5 as hit from a", "trk", "det"))
+    with_tables(f"with {TOP}, {DETS}, {BEST} select track, class, round_even(avg_score, 6) as avg_score, avg_score >= 0.5 as hit from a", "trk", "det"))
 add("reclass_result", lambda s, d: reclass.re_classify(X.tracks(s, d), X.detections(s, d), 25, 0.5, 0, (1, 3)),
     with_tables(f"""with {TOP}, {DETS}, {BEST}, b as (select * from a where avg_score >= 0.5 qualify row_number() over (partition by track order by avg_score desc, class) = 1)
         select track, coalesce(class, 0) as cls, round_even(coalesce(avg_score, 0), 2) as avg_score from (select distinct track from trk) left join b using (track)""", "trk", "det"))
@@ -327,7 +327,7 @@ def io_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_draw(spark, path).selectExpr(*FLAT)
 
 
-@query("io_segmentation", with_tables("select frame, count(*) as n, round(sum(conf), 6) as total from det group by frame", "det"))
+@query("io_segmentation", with_tables("select frame, count(*) as n, round_even(sum(conf), 6) as total from det group by frame", "det"))
 def io_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "masks")
     corner = F.array(F.array("x", "y"), F.array(F.col("x") + F.col("w"), F.col("y") + F.col("h")))
