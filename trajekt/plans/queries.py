@@ -346,7 +346,8 @@ add("tracker_rows", lambda s, d: boxes.parse_tracker_rows(X.raw_boxes(s, d).sele
 
 # Tracking
 
-add("track_bytetrack", lambda s, d: tracking.track(X.smooth_tracks(s, d).where("track < 40").selectExpr("track % 4 video_id", "frame", "x", "y", "w", "h", "score conf", "cls class")))
+# Four videos for every 40 track ids, so the videos grow in number with the table and each holds ten ids at most.
+add("track_bytetrack", lambda s, d: tracking.track(X.smooth_tracks(s, d).selectExpr("cast(track div 40 * 4 + track % 4 as int) video_id", "frame", "x", "y", "w", "h", "score conf", "cls class")))
 
 
 def queries() -> dict[str, Query]:
