@@ -23,3 +23,13 @@ def test_bytetrack_steps_every_track(spark):
         for f in range(min(frames), max(frames) + 1):
             want += [(video, *r) for r in rows_of(f, tracker.step(np.array(sorted(frames.get(f, [])))), True)]
     assert sorted(map(tuple, queries.queries()["track_bytetrack"](spark, SF).collect())) == sorted(want)
+
+
+def test_draw_dets_score_draws_every_class(spark):
+    from trajekt.plans import fixtures, queries
+
+    dets = fixtures.detections(spark, SF).selectExpr("frame", "x", "y", "w", "h", "class", "conf").collect()
+    want = {(r.frame, r.x, r.y, r.x + r.w, r.y + r.h, f"{ {0: 'car', 1: 'bus'}.get(r['class'], '')} {round(r.conf, 1):.1f}") for r in dets}
+    got = queries.queries()["draw_dets_score"](spark, SF).collect()
+    assert any(r.desc.startswith(" ") for r in got)
+    assert sorted((r.frame, r.x0, r.y0, r.x1, r.y1, r.desc) for r in got) == sorted(want)

@@ -292,7 +292,7 @@ add("draw_tracks_tail", lambda s, d: overlay.draw_tracks(X.smooth_tracks(s, d),
         select distinct a.frame, 'circle', trunc(b.x) + trunc(b.w / 2), trunc(b.y) + trunc(b.h / 2), null, null, c0, c1, c2, 1.0::double, -1, '', false, 0.0::double
         from smo a join smo b on a.track = b.track and b.frame between a.frame - 4 and a.frame - 1 join {PAL} on a.track % 12 = k""", "smo"))
 add("draw_dets", lambda s, d: overlay.draw_detections(X.detections(s, d), label_score=False).selectExpr(*FLAT), with_tables(f"select distinct * from ({BOX_SQL.format('det', 'class::varchar', 'class')})", "det"))
-add("draw_dets_score", lambda s, d: overlay.draw_detections(X.detections(s, d).where("class < 2"), _names(s), color=(1, 2, 3)).selectExpr(*FLAT))
+add("draw_dets_score", lambda s, d: overlay.draw_detections(X.detections(s, d), _names(s), color=(1, 2, 3)).selectExpr(*FLAT))
 SHAPES = ["LINESTRING (0 0, 10 5)", {"type": "circle", "geometry": [7, 8], "color": (9, 8, 7), "size": 3}]
 add("draw_shapes", lambda s, d: overlay.draw_shapes(s, SHAPES, overlay.draw_tracks(X.smooth_tracks(s, d), color=(1, 2, 3))).where("type <> 'bbox'").selectExpr(*FLAT),
     with_tables("""select frame, 'polylines' as type, 0.0::double as x0, 0.0::double as y0, 10.0::double as x1, 5.0::double as y1, 0 as c0, 255 as c1, 255 as c2, 4.0::double as size, 2 as thick, '' as desc, false as fill, 0.0::double as alpha
