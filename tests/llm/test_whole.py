@@ -1,0 +1,18 @@
+"""Results that are right for all inputs, also those that the driver's tables don't hold."""
+
+import public_tokenizers
+
+from trajekt.llm import token_counts
+
+
+def test_special_strings_in_any_case_count_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, counter = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    for s in ("<|endoftext|>", "<|ENDOFTEXT|>", "<|STARTOFTEXT|>", "x<|EndOfText|>", "<|endoftext|>The.", "<|EndOfText|>The."):
+        for t in (s, f"The {s} end.", f"{s}, {s.lower()} {s}"):
+            ends, sums = counter.index(t)
+            for cut in range(len(t) + 1):
+                want = len(tok.encode(t[:cut], add_special_tokens=False).ids)
+                assert token_counts.count_at(t, ends, sums, cut, counter) == want, (t, cut)

@@ -16,11 +16,11 @@ from .common import _SPACE, text_slices
 MEMO_WORDS = 500_000
 _CUT = re.compile(r"(?<!\s)(?=[ \t\n\r\x0b\x0c])")
 _MARK = re.compile(r"(?<![ \u2581])(?= )")
-_LOADED: dict[str, tuple[Callable[[list[str]], list[int]], Callable[[list[str]], list[int]], str]] = {}
+_LOADED: dict[str, tuple[Callable[[list[str]], list[int]], Callable[[list[str]], list[int]], str, list[bytes]]] = {}
 
 
-def load(path: str) -> tuple[Callable[[list[str]], list[int]], Callable[[list[str]], list[int]], str]:
-    """(counts of texts, counts of units, kind) for a .json (tokenizers) or .model (sentencepiece) file.
+def load(path: str) -> tuple[Callable[[list[str]], list[int]], Callable[[list[str]], list[int]], str, list[bytes]]:
+    """(counts of texts, counts of units, kind, lower-cased added tokens) for a .json (tokenizers) or .model (sentencepiece) file.
 
     kind says which units tokenise independently: "words" (white space is dropped), "spaced" (white
     space belongs to the word that follows) or "marked" (as spaced, one leading blank being the
@@ -48,6 +48,7 @@ def load(path: str) -> tuple[Callable[[list[str]], list[int]], Callable[[list[st
                 return np.bincount(own, minlength=len(words))[: len(words)].tolist()
 
             each = joined if kind == "words" else counts
+            added = sorted({t.content.lower().encode() for t in tok.get_added_tokens_decoder().values()})
         elif path.endswith(".model"):
             from sentencepiece import SentencePieceProcessor
 
@@ -56,12 +57,12 @@ def load(path: str) -> tuple[Callable[[list[str]], list[int]], Callable[[list[st
             def counts(texts: list[str]) -> list[int]:
                 return [len(x) for x in sp.encode(texts, num_threads=1)]
 
-            kind, each = "marked", counts
+            kind, each, added = "marked", counts, []
             if sp.decode(sp.encode("  a  b\n c")) != "  a  b\n c" or sp.encode("a b c") != sp.encode("a") + sp.encode("b") + sp.encode("c"):
                 raise ValueError("the model rewrites white space; words are no exact cut")
         else:
             raise ValueError("a tokenizer is a .json or .model file")
-        _LOADED[path] = counts, each, kind
+        _LOADED[path] = counts, each, kind, added
     return _LOADED[path]
 
 
@@ -83,7 +84,7 @@ class PrefixCounter:
     """Exact counts for words and their prefixes, each computed once."""
 
     def __init__(self, path: str):
-        self.counts, self.each, self.kind = load(path)
+        self.counts, self.each, self.kind, self.added = load(path)
         # Probed: case is dropped, and a full stop or comma behind a letter is a token of its own.
         self.folds = self.kind == "words" and self.counts(["Zq", "zq", "zq.", "zq,", ".", ","])[1:] == [(n := self.counts(["Zq"])[0]), n + 1, n + 1, 1, 1]
         self.memo: dict[bytes, int] = {}
@@ -114,8 +115,12 @@ class PrefixCounter:
             return np.fromiter(map(self.memo.__getitem__, words), np.int32, len(words))
 
     def core(self, word: bytes) -> tuple[bytes, int]:
-        """(what to encode for a word, tokens besides): many words differ in case and a last mark only."""
+        """(what to encode for a word, tokens besides): many words differ in case and a last mark only. Added tokens
+        are matched in the raw text, so a word that holds one in any case stays as it is."""
         if self.folds and word.isascii():
+            low = word.lower()
+            if any(a in low for a in self.added):
+                return word, 0
             more = 0
             if len(word) > 1 and word[-1:] in b".," and word[-2:-1].isalpha():
                 word, more = word[:-1], 1
