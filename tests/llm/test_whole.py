@@ -1,8 +1,9 @@
 """Results that are right for all inputs, also those that the driver's tables don't hold."""
 
+import numpy as np
 import public_tokenizers
 
-from trajekt.llm import token_counts
+from trajekt.llm import embedding_dedup, token_counts
 
 
 def test_special_strings_in_any_case_count_as_the_library_does():
@@ -16,3 +17,22 @@ def test_special_strings_in_any_case_count_as_the_library_does():
             for cut in range(len(t) + 1):
                 want = len(tok.encode(t[:cut], add_special_tokens=False).ids)
                 assert token_counts.count_at(t, ends, sums, cut, counter) == want, (t, cut)
+
+
+def test_every_vector_length_has_its_links(spark):
+    rng = np.random.default_rng(3)
+    vectors = []
+    for dim in range(2, 70):  # more lengths than have pivots
+        v = rng.normal(size=dim)
+        vectors += [v, v * 2 + 1e-3]
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(2)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+    assert got == {k: (1, k // 2 * 2) for k in range(len(vectors))}
+
+
+def test_a_rare_vector_length_has_its_links(spark):
+    v = np.array([0.3, -1.0, 0.5])
+    vectors = [*np.random.default_rng(4).normal(size=(300, 64)), v, v * 2 + 1e-3]
+    df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(2)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df, sample_rows=4).collect()}
+    assert got == {k: int(k >= 300) for k in range(len(vectors))}

@@ -60,7 +60,8 @@ def near_duplicate_vectors(
 
     Equal vectors of a group are one class, so copies are counted, not paired. Within a group, vectors
     belong to the nearest of a few pivots (fitted on a bounded sample); two such cells are compared only if
-    their pivots' angle and radii leave room for a link, which loses nothing. Cells are dealt to blocks of
+    their pivots' angle and radii leave room for a link, which loses nothing. The 64 most frequent lengths have
+    pivots; vectors of any other length are one cell, all compared. Cells are dealt to blocks of
     BLOCK rows, and a task gets one pair of blocks: sign codes of rotated vectors and their stored
     correction factors give unbiased estimates; pairs whose confidence bound reaches the threshold are
     recomputed exactly. Out come link counts and spanning forests, never the pairs.
@@ -70,11 +71,12 @@ def near_duplicate_vectors(
     ok = valid_vectors(d.where("g is not null").withColumn("h", F.xxhash64("g")), "id", "v", ["h"])
     classes = ok.groupBy("h", "vec").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
     classes = written(classes.withColumn("dim", F.length("vec")), "vec-classes")
-    total = classes.count()
-    dims = [r["dim"] for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()]
+    dims = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(64).collect()}
     pivots: dict[int, np.ndarray] = {}
-    for dim in dims:
+    for dim, total in dims.items():
         x = sample(classes.where(F.col("dim") == dim).withColumnRenamed("rep", "id"), sample_rows, total, SEED)
+        if not len(x):
+            continue
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
         c = centroids(x, max(1, min(512, total // rows_per_cell)), SEED)
         norms = np.linalg.norm(c, axis=1, keepdims=True)
@@ -97,6 +99,8 @@ def near_duplicate_vectors(
     cells = cells.withColumn("nb", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int"))
     angle_of = [(int(dim), a, b, float(np.arccos(np.clip(p[a] @ p[b], -1, 1)))) for dim, p in pivots.items() for a in range(len(p)) for b in range(a, len(p))]
     between = spark.createDataFrame(angle_of or [(0, 0, 0, 0.0)], "dim int, ca int, cb int, apart double")
+    bare = cells.where(~F.col("dim").isin(list(pivots))).select("dim").distinct()
+    between = between.union(bare.select("dim", F.lit(0), F.lit(0), F.lit(0.0)))
     reach = float(np.arccos(threshold)) + 1e-6
     ends = lambda s: cells.select("h", "dim", F.col("cell").alias(f"c{s}"), F.col("nb").alias(f"nb{s}"), F.col("radius").alias(f"r{s}"))
     pairs = between.join(ends("a"), ["dim", "ca"]).join(ends("b"), ["h", "dim", "cb"]).where(F.col("apart") <= F.col("ra") + F.col("rb") + reach)
