@@ -2,8 +2,9 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from trajekt.llm import embedding_dedup, token_counts
+from trajekt.llm import embedding_dedup, language_id, token_counts
 
 
 def test_special_strings_in_any_case_count_as_the_library_does():
@@ -36,3 +37,13 @@ def test_a_rare_vector_length_has_its_links(spark):
     df = spark.createDataFrame([(k, x.tolist(), 0) for k, x in enumerate(vectors)], "vec_id long, embedding array<double>, label int").repartition(2)
     got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df, sample_rows=4).collect()}
     assert got == {k: int(k >= 300) for k in range(len(vectors))}
+
+
+def test_language_dictionaries_reach_the_ends_of_texts(spark):
+    texts = [(k, ("shared header " * 200 if k % 2 else "title " * 120) + "body " * 150 + "finish " * 40 + "x" * (k // 2), "en") for k in range(80)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string").repartition(2)
+    ((_, raw),) = language_id.train(df, F.lit(True))
+    assert all(w in raw for w in (b"shared header", b"title", b"body", b"finish"))
+    assert language_id.train(df.repartition(3), F.lit(True)) == [("en", raw)]
+    ((_, short),) = language_id.train(df.where("doc_id % 2 = 0"), F.lit(True), docs_per_language=100)
+    assert b"finish" in short

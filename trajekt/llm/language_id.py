@@ -35,7 +35,8 @@ def train(
     """Raw-content dictionaries from a bounded sample of the labelled rows that `rows` selects.
 
     About docs_per_language documents of each language (a hash of the id decides, not their place) give
-    one piece each, dictionary_bytes together. Returned by falling frequency, which settles ties.
+    one piece each, dictionary_bytes together; a piece begins at a hashed place of the whole text. Returned by
+    falling frequency, which settles ties.
     Rows with null text or language teach nothing.
     """
     d = docs.where(rows & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
@@ -45,17 +46,19 @@ def train(
     rates = F.lit(0.0)
     for lang, n in counts.items():
         rates = F.when(F.col("l") == lang, F.lit(min(1.0, 1.5 * docs_per_language / n))).otherwise(rates)
-    u = F.pmod(F.xxhash64(F.lit(seed), "i", "t"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u, v, w = (F.pmod(F.xxhash64(F.lit(seed + k), "i", "t"), F.lit(1 << 30)) / F.lit(float(1 << 30)) for k in range(3))
     piece = 4 * dictionary_bytes // docs_per_language
-    got = d.withColumn("u", u).where(F.col("u") < rates).select("l", "u", F.substring("t", 1, piece).alias("t")).collect()
-    by: dict[str, list[tuple[float, str]]] = {}
+    start = F.floor(v * (F.greatest(F.length("t") - piece, F.lit(0)) + 1)).cast("int") + 1
+    got = d.withColumn("u", u).where(F.col("u") < rates).select("l", "u", w.alias("w"), F.substring("t", start, F.lit(piece)).alias("t")).collect()
+    by: dict[str, list[tuple[float, float, str]]] = {}
     for r in got:
-        by.setdefault(r["l"], []).append((r["u"], r["t"]))
+        by.setdefault(r["l"], []).append((r["u"], r["w"], r["t"]))
     out = []
     for lang in sorted(by, key=lambda x: (-counts[x], x)):
-        texts = [letters(t).encode() for _, t in sorted(by[lang])[:docs_per_language]]
+        texts = [(w, letters(t).encode()) for _, w, t in sorted(by[lang])[:docs_per_language]]
         each = max(64, dictionary_bytes // len(texts))
-        out.append((lang, b" ".join(t[:each] for t in texts)[-dictionary_bytes:]))
+        parts = [t[(a := int(w * (max(len(t) - each, 0) + 1))) : a + each] for w, t in texts]
+        out.append((lang, b" ".join(parts)[-dictionary_bytes:]))
     return out
 
 
