@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
-# The seeded order within a source is cut into 2 ** PIECE_BITS pieces, which are summed before any row is looked at singly.
+# The seeded order within a source is cut into 2 ** PIECE_BITS pieces, and the piece where the rest ends into as many
+# again, before any row is looked at singly.
 PIECE_BITS = 12
 
 
@@ -70,53 +71,72 @@ def mix_sources(
     own. Repeated rows share what is left at the cut evenly. Empty input gives an empty result.
 
     The order is a seeded hash of id and text. Sums over 4096 ranges of it per source find the range
-    where the rest ends; only the rows of that range are ordered singly, so a hot source neither
-    meets in one task nor is sorted. Texts are not shuffled: the per-source and cut tables are written
-    and joined by the planner's choice from their real sizes.
+    where the rest ends, sums over 4096 parts of that range the part; only the rows of that part, one of 16 million,
+    are ordered singly, so a hot source neither meets in one task nor is sorted. Texts are not shuffled: they are
+    joined to a row per source and to the few rows at the cuts.
     """
-    own = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
-    cols = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    mine = fresh(docs)
+    outputs = ["mix_size", "mix_source_size", "mix_target", "mix_taken"]
+    cols = [F.col(f"`{c}`") for c in docs.columns if c not in outputs]
     keyed = docs.select(
         *cols,
-        F.col(f"`{source_col}`").cast("string").alias("__s"),
-        word_count(F.col(f"`{text_col}`")).alias("__n"),
-        place(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("__h"),
+        F.col(f"`{source_col}`").cast("string").alias(f"{mine}source"),
+        word_count(F.col(f"`{text_col}`")).alias(f"{mine}n"),
+        place(seed, F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias(f"{mine}h"),
     )
-    piece = F.shiftright("h", 60 - PIECE_BITS).cast("int")
-    narrow = written(keyed.select(F.col("__s").alias("source"), F.col("__n").alias("n"), F.col("__h").alias("h")).withColumn("piece", piece), "mix-sizes")
-    sums = written(narrow.groupBy("source", "piece").agg(F.sum("n").alias("words")), "mix-pieces")
-    plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
+    narrow = written(keyed.select(*[F.col(f"{mine}{c}").alias(c) for c in ("source", "n", "h")]), "mix-sizes")
+    narrow = narrow.withColumn("piece", F.shiftright("h", 60 - PIECE_BITS)).withColumn("part", F.shiftright("h", 60 - 2 * PIECE_BITS))
+    pieces = written(narrow.groupBy("source", "piece").agg(F.sum("n").alias("words")), "mix-pieces")
+    plan = targets(pieces.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    plan = plan.withColumn("rest", F.greatest(F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"), F.lit(0)))
-    plan = written(plan, "mix-plan")
-    before = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = sums.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    ranges = ranges.join(plan.select(F.col("source").alias("s2"), "rest"), F.col("source").eqNullSafe(F.col("s2")))
-    cut = ranges.where("words > 0 and before < rest and rest < before + words").select("source", F.col("piece").alias("cut"), "before", "rest")
-    # Rows of the cut ranges only, equal hashes together.
-    rows = narrow.where("n > 0").join(cut.select(F.col("source").alias("s2"), "cut", "before", "rest"), F.col("source").eqNullSafe(F.col("s2")) & (F.col("piece") == F.col("cut")))
-    rows = rows.groupBy("source", "h", "n", "before", "rest").agg(F.count("*").alias("copies"))
+    plan = written(plan.withColumn("rest", F.greatest(F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"), F.lit(0))), "mix-plan")
+    piece = _upto(pieces.withColumnRenamed("piece", "at"), plan.select("source", "rest"))
+    n = plan.count()  # sources, of which the tables below have a row each
+    piece = written(piece, "mix-piece", n)
+    inside = _same_source(narrow.where("n > 0"), piece.where("cut is not null").select("source", "cut", "left"), F.col("piece") == F.col("cut"))
+    parts = inside.groupBy("source", F.col("part").alias("at")).agg(F.sum("n").alias("words"), F.first("left").alias("rest"))
+    part = written(_upto(parts.drop("rest"), piece.where("cut is not null").select("source", F.col("left").alias("rest"))), "mix-part", n)
+    # Rows of the last part only, equal ones together.
+    rows = _same_source(narrow.where("n > 0"), part.where("cut is not null").select("source", "cut", "left"), F.col("part") == F.col("cut"))
+    rows = rows.groupBy("source", "h", "n", "left").agg(F.count("*").alias("copies"))
     order = Window.partitionBy("source").orderBy("h", "n").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("at", F.col("before") + F.coalesce(F.sum(F.col("n") * F.col("copies")).over(order), F.lit(0)))
-    rows = rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("n"), F.floor((F.col("rest") - F.col("at")) / F.col("copies")).cast("long"))))
-    singles = written(rows.select(F.col("source").alias("c_s"), F.col("h").alias("c_h"), "extra"), "mix-cut")
-    whole = plan.join(cut.select(F.col("source").alias("s3"), "cut"), F.col("source").eqNullSafe(F.col("s3")), "left")
-    # With no cut range the rest covers all pieces or none.
-    whole = whole.withColumn("all", F.col("cut").isNull() & (F.col("rest") >= F.col("source_size")))
-    ends = ranges.where("words > 0 and before + words <= rest").groupBy(F.col("source").alias("s4")).agg(F.max("piece").alias("last"))
-    whole = whole.join(ends, F.col("source").eqNullSafe(F.col("s4")), "left")
-    whole = written(whole.select(F.col("source").alias("p_s"), "source_size", "target", "whole", F.coalesce("last", F.lit(-1)).alias("last")), "mix-whole")
-    out = keyed.withColumn("__p", F.shiftright("__h", 60 - PIECE_BITS).cast("int"))
-    out = out.join(whole, F.col("__s").eqNullSafe(F.col("p_s")), "left")
-    out = out.join(singles, F.col("__s").eqNullSafe(F.col("c_s")) & (F.col("__h") == F.col("c_h")), "left")
-    extra = F.when(F.col("__p") <= F.col("last"), F.col("__n")).otherwise(F.coalesce("extra", F.lit(0)))
-    taken = F.col("whole") * F.col("__n") + extra
-    return out.select(
-        *cols,
-        F.col("__n").alias("mix_size"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-        taken.cast("long").alias("mix_taken"),
+    rows = rows.withColumn("left", F.col("left") - F.coalesce(F.sum(F.col("n") * F.col("copies")).over(order), F.lit(0)))
+    extra = F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.col("left") / F.col("copies")).cast("long")))
+    singles = written(rows.select(*[F.col(c).alias(f"{mine}c_{c}") for c in ("source", "h")], extra.alias(f"{mine}extra")), "mix-cut")
+    # All parts before `upto` are taken: those of the pieces before the cut one, and of that one those before the cut part.
+    first = F.col("done") * (1 << PIECE_BITS)
+    ends = _same_source(plan, piece.select("source", first.alias("first")), how="left")
+    ends = _same_source(ends, part.select("source", F.col("done").alias("later")), how="left")
+    ends = ends.withColumn("upto", F.greatest(F.coalesce("first", F.lit(0)), F.coalesce("later", F.lit(0))))
+    ends = written(ends.select(*[F.col(c).alias(f"{mine}p_{c}") for c in ("source", "source_size", "target", "whole", "upto")]), "mix-ends", n)
+    out = keyed.join(ends, F.col(f"{mine}source").eqNullSafe(F.col(f"{mine}p_source")), "left")
+    at_cut = F.col(f"{mine}source").eqNullSafe(F.col(f"{mine}c_source")) & (F.col(f"{mine}h") == F.col(f"{mine}c_h"))
+    out = out.join(singles, at_cut, "left")
+    n = F.col(f"{mine}n")
+    more = F.when(F.shiftright(f"{mine}h", 60 - 2 * PIECE_BITS) < F.col(f"{mine}p_upto"), n).otherwise(F.coalesce(f"{mine}extra", F.lit(0)))
+    taken = F.col(f"{mine}p_whole") * n + more
+    return out.select(*cols, n.alias("mix_size"), F.col(f"{mine}p_source_size").alias("mix_source_size"), F.col(f"{mine}p_target").alias("mix_target"), taken.cast("long").alias("mix_taken"))
+
+
+def _same_source(rows: DataFrame, by: DataFrame, more: Column | None = None, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table of one row per source, null being a source too."""
+    by = by.withColumnRenamed("source", "own_source")
+    same = F.col("source").eqNullSafe(F.col("own_source"))
+    return rows.join(by, same if more is None else same & more, how).drop("own_source")
+
+
+def _upto(sums: DataFrame, rest: DataFrame) -> DataFrame:
+    """Per source: done, the first place (at) that isn't wholly taken when `rest` words are taken in order; cut, that place
+    if a part of it is taken, and left, how many words of it."""
+    before = Window.partitionBy("source").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    s = sums.where("words > 0").withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    s = _same_source(s, rest)
+    part = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("words"))
+    whole = F.col("before") + F.col("words") <= F.col("rest")
+    return s.groupBy("source").agg(
+        F.max(F.when(whole, F.col("at") + 1)).alias("done"),
+        F.max(F.when(part, F.col("at"))).alias("cut"),
+        F.max(F.when(part, F.col("rest") - F.col("before"))).alias("left"),
     )
 
 
@@ -125,10 +145,13 @@ def repeated(mixed: DataFrame, text_col: str = "text") -> DataFrame:
 
     Returns the columns of the mixed table without the mix_ columns; documents with mix_taken 0 go.
     """
+    own = fresh(mixed)
+    kept = [c for c in mixed.columns if c not in ("mix_size", "mix_source_size", "mix_target", "mix_taken")]
     whole = F.when(F.col("mix_size") > 0, F.floor(F.col("mix_taken") / F.col("mix_size"))).otherwise(F.lit(0)).cast("int")
     part = F.when(F.col("mix_size") > 0, F.col("mix_taken") % F.col("mix_size")).otherwise(F.lit(0)).cast("int")
-    copies = F.explode(F.when(whole + F.signum(part) > 0, F.sequence(F.lit(1), (whole + F.signum(part)).cast("int"))).otherwise(F.array().cast("array<int>")))
-    rows = mixed.select("*", whole.alias("__whole"), part.alias("__part")).select("*", copies.alias("__copy"))
-    cut = F.concat_ws(" ", F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest(F.col("__part"), F.lit(1))))
-    rows = rows.withColumn(text_col, F.when(F.col("__copy") <= F.col("__whole"), F.col(text_col)).otherwise(cut))
-    return rows.drop("__whole", "__part", "__copy", "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    copies = F.when(whole + F.signum(part) > 0, F.sequence(F.lit(1), (whole + F.signum(part)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = mixed.select("*", whole.alias(f"{own}whole"), part.alias(f"{own}part")).select("*", F.explode(copies).alias(f"{own}copy"))
+    text = F.col(f"`{text_col}`")
+    cut = F.concat_ws(" ", F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), 1, F.greatest(F.col(f"{own}part"), F.lit(1))))
+    new = F.when(F.col(f"{own}copy") <= F.col(f"{own}whole"), text).otherwise(cut)
+    return rows.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept])
