@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajekt.llm import language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec
-from trajekt.llm.common import written
+from trajekt.llm.common import packed, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,32 +19,32 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     model = language_id.train(docs, F.lit(True))
     found = language_id.identify(docs.select(*COLUMNS), model, min_margin=0.002).where("lang_accepted")
-    return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return packed(found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more that 5 documents hold stay in one of them; n_chars follows the text."""
     out = line_dedup.dedup_lines(docs.select(*COLUMNS), min_chars=40, min_docs=5)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return packed(out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near-duplicates (five words, similarity 0.8 or more) the document of the least id stays."""
     out = minhash_dedup.near_duplicates(docs, words=5, threshold=(80, 100))
     gone = written(out.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "pipeline-gone")
-    return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return packed(docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to the weights 5, 2, 1 within 3 epochs: documents repeat, are cut at the end of the quota, or go."""
     mixed = mixing.mix_sources(docs.select(*COLUMNS), weights=(5, 2, 1), max_epochs=3)
-    return mixing.repeated(mixed).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return packed(mixing.repeated(mixed).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, and whether they decode to it."""
     out = sentencepiece_codec.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
-    return out.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", "round_trip")
+    return packed(out.select("doc_id", "lang", "source", F.size("piece_ids").alias("n_pieces"), "piece_ids", "round_trip"))
 
 
 STAGES = [
