@@ -116,13 +116,52 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.toxicity <= 1 for r in plain.collect())
 
 
-def test_label_model_discounts_repeats():
+def votes_of(rng, y, voters):
+    """Votes of (polarity, how often it votes where right, where wrong)."""
+    out = [np.where(rng.random(len(y)) < np.where((y > 0) == (side > 0), right, wrong), side, 0) for side, right, wrong in voters]
+    return np.stack(out, axis=1)
+
+
+def test_label_model_beats_the_majority_without_labels():
     rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.2
-    own = [(y & (rng.random(3000) < 0.6)) | (rng.random(3000) < 0.02) for _ in range(3)]
-    votes = np.stack([*own, own[0], own[0]], axis=1).astype(np.int8)
-    post, discount = toxicity.label_model(votes, y.astype(float))
-    assert ((post > 0.5) == y).mean() > 0.97 and discount[0] < 0.6 < discount[1]
+    y = (rng.random(6000) < 0.2).astype(int)
+    votes = votes_of(rng, y, [(1, 0.7, 0.02), (1, 0.6, 0.02), (1, 0.3, 0.25), (1, 0.3, 0.25), (1, 0.35, 0.3), (-1, 0.5, 0.05), (-1, 0.4, 0.05)])
+    post, _, _ = toxicity.label_model(votes, 0.2)
+    majority = votes.sum(axis=1) > 0
+    assert ((post > 0.5) == y).mean() > max(0.93, (majority == y).mean() + 0.03)
+
+
+def test_label_model_counts_a_correlated_block_once():
+    rng = np.random.default_rng(1)
+    y = (rng.random(8000) < 0.3).astype(int)
+    votes = votes_of(rng, y, [(1, 0.5, 0.1), (1, 0.5, 0.1), (1, 0.5, 0.1), (-1, 0.5, 0.1), (-1, 0.5, 0.1)])
+    block = np.concatenate([votes, votes[:, :1], votes[:, :1], votes[:, :1]], axis=1)
+    alone, _, _ = toxicity.label_model(votes, 0.3)
+    blocked, parent, _ = toxicity.label_model(block, 0.3)
+    assert (parent >= 0).sum() == 3 and np.abs(alone - blocked).max() < 0.08
+    tables = toxicity._tables(block, np.full(8, -1), blocked)
+    apart = toxicity._posterior(block, np.full(8, -1), tables, 0.3)
+    assert np.abs(alone - apart).max() > 0.2  # without parents, the block's votes add up
+
+
+def test_label_model_against_plain_em():
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.4).astype(int)
+    votes = votes_of(rng, y, [(1, 0.6, 0.1), (1, 0.5, 0.2), (-1, 0.6, 0.1)])
+    got, parent, _ = toxicity.label_model(votes, 0.4, blocks=False)
+    assert (parent == -1).all()
+    logit = lambda p: np.log(p / (1 - p))
+    post = [1 / (1 + np.exp(-(2.0 * sum(r) + logit(0.4)))) for r in votes.tolist()]
+    for _ in range(60):
+        rate = {}
+        for j in range(3):
+            for label in (0, 1):
+                w = [p if label else 1 - p for p in post]
+                for v in (-1, 0, 1):
+                    plain = (sum(a for a, r in zip(w, votes.tolist()) if r[j] == v) + 0.1) / (sum(w) + 0.3)
+                    rate[j, label, v] = (sum(a for a, r in zip(w, votes.tolist()) if r[j] == v) + 4 * plain) / (sum(w) + 4)
+        post = [1 / (1 + np.exp(-(logit(0.4) + sum(np.log(rate[j, 1, v] / rate[j, 0, v]) for j, v in enumerate(r))))) for r in votes.tolist()]
+    assert np.abs(got - post).max() < 1e-6
 
 
 def test_quality_shrinks_sparse_sites(spark):
