@@ -324,3 +324,26 @@ def test_track_batch_skips_what_is_there(spark, tmp_path):
     assert values(first, "video_id", "rows") == [("a", 5)]
     tracking.track_batch(spark, [str(tmp_path / f"{v}_iou.txt") for v in "ab"], str(tmp_path / "out"))
     assert values(spark.read.csv(str(tmp_path / "out")).groupBy("video_id").count(), "video_id", "count") == [("a", 5), ("b", 5)]
+
+
+def test_smoothing_many_tracks_is_smoothing_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    length = np.array([5, 40, 1, 17])
+    values, seen = np.zeros((4, 40, 4)), np.zeros((4, 40), bool)
+    for t, n in enumerate(length):
+        seen[t, :n] = rng.random(n) < 0.6
+        seen[t, [0, n - 1]] = True
+        values[t, :n] = rng.normal(size=(n, 4)) * 50 * seen[t, :n, None]
+    r = np.array([25.0, 25, 16, 16])
+    got = smoothing.smooth_many(values, seen, length, 10.0, r)
+    for t, n in enumerate(length):
+        assert np.allclose(got[t, :n], smoothing.smooth_axes(values[t, :n], seen[t, :n], 10.0, r))
+
+
+def test_smoothing_in_small_blocks_gives_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(t, int(f), float(rng.integers(0, 99)), 1.0 * t, 10.0, 20.0, 0.5, t % 2, -1, -1) for t in range(12) for f in sorted(rng.choice(60, 9, replace=False))]
+    df = spark.createDataFrame(rows + rows[:5], "track int, frame int, x double, y double, w double, h double, score double, cls int, r3 int, r4 int")
+    whole = sorted(smoothing.interpolate_tracks(df).collect())
+    monkeypatch.setattr(smoothing, "CELLS", 50)
+    assert sorted(smoothing.interpolate_tracks(df).collect()) == whole and len(whole) > len(rows)

@@ -32,11 +32,11 @@ def top_detections(df: DataFrame, limit: int = 300, by: Sequence[str] = ("frame"
     return df.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= limit).drop("__rank")
 
 
-def nms(df: DataFrame, threshold: float = 0.7, by: Sequence[str] = ("frame", "class"), score: str = "conf") -> DataFrame:
-    """Greedy non-maximum suppression per frame and class; frames are small groups by nature."""
+def nms(df: DataFrame, threshold: float = 0.7, by: Sequence[str] = ("frame", "class"), score: str = "conf", ties: Sequence[str] = ("x", "y", "w", "h")) -> DataFrame:
+    """Greedy non-maximum suppression per frame and class; frames are small groups by nature. Equal scores go by `ties`."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, "x", "y", "w", "h"], ascending=[False, True, True, True, True], kind="stable")
+        pdf = pdf.sort_values([score, *ties], ascending=[False, *[True] * len(ties)], kind="stable")
         x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
         live = np.ones(len(pdf), bool)
         for k in range(len(pdf)):

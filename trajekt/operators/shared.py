@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -25,3 +28,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """From rows sorted by `keys`: tables of whole groups, with the groups' start rows and the end."""
+    rest: list[pa.RecordBatch] = []
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in keys:
+            codes = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest.append(batch)
+        if rest[0] is not batch and all(rest[0].column(k)[0].equals(batch.column(k)[-1]) for k in keys):
+            continue  # still the one group
+        table = pa.Table.from_batches(rest)
+        last = int(starts_of(table)[-1])
+        if last:
+            done = table.slice(0, last)
+            yield done, np.append(starts_of(done), last)
+        rest = table.slice(last).to_batches()
+    if rest:
+        table = pa.Table.from_batches(rest)
+        yield table, np.append(starts_of(table), table.num_rows)

@@ -2,54 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sequence import first_per_frame
+from .shared import whole_groups
+
+# Frames (times tracks) that are smoothed at a time.
+CELLS = 200_000
 
 
 def smooth_axes(values: np.ndarray, seen: np.ndarray, q: float, r: np.ndarray) -> np.ndarray:
-    """Smoothed positions of independent axes (frames x axes) over consecutive frames.
+    """Smoothed positions of independent axes (frames x axes) over consecutive frames."""
+    return smooth_many(values[None], seen[None], np.array([len(values)]), q, r)[0]
+
+
+def smooth_many(values: np.ndarray, seen: np.ndarray, length: np.ndarray, q: float, r: np.ndarray) -> np.ndarray:
+    """Smoothed positions (tracks x frames x axes) of many tracks, each with `length` consecutive frames, the rest padding.
 
-    The model of a box is block diagonal, so each axis is a filter of position and velocity by itself; axes
-    with the same measurement variance share their gains. State at the start: first value, no velocity,
-    variance 100; each frame predicts and then, where seen, updates.
+    The model of a box is block diagonal, so each axis is a filter of position and velocity by itself. State at
+    the start: first value, no velocity, variance 100; each frame predicts and then, where seen, updates. A frame is one
+    step for all tracks together; only filtered variances enter the backward pass.
     """
-    n, m = values.shape
-    x, v = values[0].astype(float), np.zeros(m)
-    a, b, c = np.full(m, 100.0), np.zeros(m), np.full(m, 100.0)  # covariance [[a, b], [b, c]]
-    xs, vs, cov = np.empty((n, m)), np.empty((n, m)), np.empty((n, 3, m))
+    many, n, m = values.shape
+    x, v = values[:, 0].astype(float), np.zeros((many, m))
+    a, b, c = np.full((many, m), 100.0), np.zeros((many, m)), np.full((many, m), 100.0)  # covariance [[a, b], [b, c]]
+    xs, vs, cov = np.empty((n, many, m)), np.empty((n, many, m)), np.empty((n, 3, many, m))
     for k in range(n):
         x = x + v
         a, b, c = a + 2 * b + c + q / 4, b + c + q / 2, c + q
-        if seen[k]:
-            g, h = a / (a + r), b / (a + r)
-            gap = values[k] - x
-            x, v = x + g * gap, v + h * gap
-            a, b, c = (1 - g) * a, (1 - g) * b, c - h * b
+        on = seen[:, k, None]
+        g, h = np.where(on, a / (a + r), 0.0), np.where(on, b / (a + r), 0.0)
+        gap = values[:, k] - x
+        x, v = x + g * gap, v + h * gap
+        a, b, c = (1 - g) * a, (1 - g) * b, c - h * b
         xs[k], vs[k] = x, v
         cov[k] = a, b, c
     for k in range(n - 2, -1, -1):
         a, b, c = cov[k]
-        pa, pb, pc = a + 2 * b + c + q / 4, b + c + q / 2, c + q
-        det = pa * pc - pb * pb
+        pa_, pb, pc = a + 2 * b + c + q / 4, b + c + q / 2, c + q
+        det = pa_ * pc - pb * pb
         # gain = P F' inverse(predicted)
-        g11, g12 = ((a + b) * pc - b * pb) / det, (b * pa - (a + b) * pb) / det
-        g21, g22 = ((b + c) * pc - c * pb) / det, (c * pa - (b + c) * pb) / det
-        dx, dv = xs[k + 1] - (xs[k] + vs[k]), vs[k + 1] - vs[k]
+        g11, g12 = ((a + b) * pc - b * pb) / det, (b * pa_ - (a + b) * pb) / det
+        g21, g22 = ((b + c) * pc - c * pb) / det, (c * pa_ - (b + c) * pb) / det
+        on = (k + 1 < length)[:, None]
+        dx, dv = np.where(on, xs[k + 1] - (xs[k] + vs[k]), 0.0), np.where(on, vs[k + 1] - vs[k], 0.0)
         xs[k], vs[k] = xs[k] + g11 * dx + g12 * dv, vs[k] + g21 * dx + g22 * dv
-        na, nb, nc = cov[k + 1]
-        da, db, dc = na - pa, nb - pb, nc - pc
-        cov[k] = (
-            a + g11 * (g11 * da + g12 * db) + g12 * (g11 * db + g12 * dc),
-            b + g21 * (g11 * da + g12 * db) + g22 * (g11 * db + g12 * dc),
-            c + g21 * (g21 * da + g22 * db) + g22 * (g21 * db + g22 * dc),
-        )
-    return xs
+    return xs.transpose(1, 0, 2)
 
 
 def interpolate_tracks(
@@ -76,8 +79,8 @@ def interpolate_tracks(
     off. Filled rows have the track's most frequent class, its mean score, sizes of at least 1 and -1 elsewhere.
 
     Returns *by, frame, track, x, y, w, h (int, half-even), score, cls, interp_col (0 observed, 1 filled; the
-    old r3 where add_interp_flag is off), r4, ordered by frame and track on request. One shuffle by track
-    serves rows, windows and the grouped map.
+    old r3 where add_interp_flag is off), r4, ordered by frame and track on request. One shuffle by track; a task
+    steps many tracks together, and tracks without a gap to fill are not smoothed.
     """
     keys = [*by, "track"]
     missing = [c for c in ("frame", "track", "x", "y", "w", "h") if c not in df.columns]
@@ -85,39 +88,72 @@ def interpolate_tracks(
         raise ValueError(f"columns are missing: {', '.join(missing)}")
     df = df.withColumns({c: F.lit(-1) for c in ("score", "cls", "r3", "r4") if c not in df.columns})
     touch = smooth_existing or not fill_gaps_only
-    names = [*keys, "frame", "x", "y", "w", "h", "score", "cls", "r3", "r4"]
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, "frame"])
     schema = f"{kinds}, x double, y double, w double, h double, score double, cls double, r3 double, r4 double, filled int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        own = pdf[names].astype({c: float for c in names[len(keys) + 1 :]})
-        frames = pdf["frame"].to_numpy()
-        if len(frames) < min_track_len:
-            return own.assign(filled=0)
-        box = own[["x", "y", "w", "h"]].to_numpy()
-        n = int(frames[-1] - frames[0]) + 1
-        at = frames - frames[0]
-        seen = np.zeros(n, bool)
-        seen[at] = True
-        values = np.zeros((n, 4))
-        values[at] = np.column_stack([box[:, 0] + box[:, 2] / 2, box[:, 1] + box[:, 3] / 2, box[:, 2], box[:, 3]])
-        gaps = np.diff(at) - 1
-        fill = np.concatenate([np.arange(at[k] + 1, at[k + 1]) for k in np.flatnonzero((gaps > 0) & (gaps <= max_gap))] or [np.zeros(0, int)])
-        if not len(fill) and not touch:
-            return own.assign(filled=0)
-        s = smooth_axes(values, seen, process_var, np.array([meas_var_pos, meas_var_pos, meas_var_size, meas_var_size]))
-        size = np.maximum(s[:, 2:], 1.0)
-        smooth = np.column_stack([s[:, :2] - size / 2, size])
-        if touch:
-            own[["x", "y", "w", "h"]] = smooth[at]
-        cls, score = own["cls"].mode(), own["score"].mean()
-        more = pd.DataFrame(smooth[fill], columns=["x", "y", "w", "h"])
-        more = more.assign(**{c: pdf[c].iloc[0] for c in keys}, frame=(fill + frames[0]).astype(frames.dtype))
-        more = more.assign(score=-1.0 if np.isnan(score) else score, cls=cls.iloc[0] if len(cls) else -1.0, r3=-1.0, r4=-1.0, filled=1)
-        return pd.concat([own.assign(filled=0), more[[*names, "filled"]]], ignore_index=True)
-
-    out = first_per_frame(df.select(*names, *[c for c in ties if c not in names]), keys, ties).select(*names).groupBy(*keys).applyInPandas(run, schema)
+    figures = ["x", "y", "w", "h", "score", "cls", "r3", "r4"]
+    r = np.array([meas_var_pos, meas_var_pos, meas_var_size, meas_var_size])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, keys):
+            frame = table["frame"].to_numpy().astype(np.int64)
+            last = np.append(frame[1:] != frame[:-1], True)
+            last[starts[1:] - 1] = True
+            first = np.insert(last[:-1], 0, True)  # of each track and frame the first row stays
+            table, frame = table.filter(pa.array(first)), frame[first]
+            starts = np.searchsorted(np.flatnonzero(first), starts)
+            box = np.column_stack([table[c].to_numpy().astype(float) for c in "xywh"])
+            middle = np.column_stack([box[:, 0] + box[:, 2] / 2, box[:, 1] + box[:, 3] / 2, box[:, 2:]])
+            begin, size = starts[:-1], np.diff(starts)
+            span = frame[starts[1:] - 1] - frame[begin] + 1
+            gap = np.append(np.diff(frame) - 1, 0)
+            gap[starts[1:] - 1] = 0
+            gap[(gap > max_gap) | (np.repeat(size, size) < min_track_len)] = 0
+            asked = np.flatnonzero((size >= min_track_len) & ((np.add.reduceat(gap, begin) > 0) | touch)) if len(frame) else np.zeros(0, int)
+            asked = asked[np.argsort(span[asked], kind="stable")]
+            # A filled row: the row before its gap, the frame and the smoothed box.
+            before, frames, boxes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, 4))]
+            at = 0
+            while at < len(asked):
+                stop = at + 1
+                while stop < len(asked) and (stop + 1 - at) * span[asked[stop]] <= CELLS:
+                    stop += 1
+                own = asked[at:stop]
+                n = int(span[own[-1]])
+                values, seen = np.zeros((len(own), n, 4)), np.zeros((len(own), n), bool)
+                rows = np.concatenate([np.arange(begin[t], begin[t] + size[t]) for t in own])
+                track = np.repeat(np.arange(len(own)), size[own])
+                place = frame[rows] - np.repeat(frame[begin[own]], size[own])
+                values[track, place], seen[track, place] = middle[rows], True
+                s = smooth_many(values, seen, span[own], process_var, r)
+                sizes = np.maximum(s[..., 2:], 1.0)
+                s = np.concatenate([s[..., :2] - sizes / 2, sizes], axis=2)
+                if touch:
+                    box[rows] = s[track, place]
+                more = gap[rows]
+                step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1
+                before.append(np.repeat(rows, more))
+                frames.append(np.repeat(frame[rows], more) + step)
+                boxes.append(s[np.repeat(track, more), np.repeat(place, more) + step])
+                at = stop
+            source = np.concatenate(before)
+            track = np.repeat(np.arange(len(begin)), size)
+            cls, score = (pd.Series(table[c].to_numpy().astype(float)) for c in ("cls", "score"))
+            mean = score.groupby(track).mean().reindex(range(len(begin))).fillna(-1.0).to_numpy()
+            mode = cls.groupby(track).agg(lambda c: c.mode().iloc[0] if c.notna().any() else -1.0).reindex(range(len(begin))).to_numpy() if len(source) else np.zeros(len(begin))
+            take = pa.array(np.concatenate([np.arange(len(frame)), source]))
+            out = [table[k].take(take) for k in keys]
+            out.append(pa.array(np.concatenate([frame, *frames])).cast(table["frame"].type))
+            box = np.concatenate([box, *boxes])
+            blank = np.full(len(source), -1.0)
+            rest = [np.concatenate([table[c].to_numpy().astype(float), f]) for c, f in (("score", mean[track[source]]), ("cls", mode[track[source]]), ("r3", blank), ("r4", blank))]
+            filled = np.concatenate([np.zeros(len(frame), np.int32), np.ones(len(source), np.int32)])
+            columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in [*out, *map(pa.array, box.T.copy()), *map(pa.array, rest), pa.array(filled)]]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "frame", *figures, "filled"])
+
+    own = df.select(*keys, "frame", *[F.col(c).cast("double").alias(c) for c in figures], *[F.col(c).alias(f"tie_{k}") for k, c in enumerate(ties)])
+    order = [*keys, "frame", *[f"tie_{k}" for k in range(len(ties))], *figures]
+    out = own.repartition(*keys).sortWithinPartitions(*order).select(*keys, "frame", *figures).mapInArrow(run, schema)
     whole = lambda c: F.bround(F.coalesce(F.nanvl(c, F.lit(-1.0)), F.lit(-1.0)), 0).cast("int")
     flag = F.col("filled") if add_interp_flag else whole("r3")
     out = out.select(
