@@ -33,3 +33,18 @@ def test_draw_dets_score_draws_every_class(spark):
     got = queries.queries()["draw_dets_score"](spark, SF).collect()
     assert any(r.desc.startswith(" ") for r in got)
     assert sorted((r.frame, r.x0, r.y0, r.x1, r.y1, r.desc) for r in got) == sorted(want)
+
+
+def test_signal_labels_cover_every_frame(spark):
+    from trajekt.plans import fixtures, queries
+
+    frames = {r.frame for r in fixtures.signals(spark, SF).select("frame").distinct().collect()}
+    assert len(frames) > 400 and {r.frame for r in queries.queries()["signal_labels"](spark, SF).select("frame").distinct().collect()} == frames
+
+
+def test_zone_and_line_queries_keep_some_tracks_and_drop_some(spark):
+    from trajekt.plans import fixtures, queries
+
+    all_tracks = fixtures.tracks(spark, SF).select("track").distinct().count()
+    for name in ("tracks_zone_agg_cl", "tracks_lines_include", "tracks_lines_v2_force"):
+        assert 0 < queries.queries()[name](spark, SF).select("track").distinct().count() < all_tracks, name

@@ -25,7 +25,7 @@ B = [(500, 300), (900, 300), (900, 600), (500, 600)]
 FAR = [(5000, 5000), (5010, 5000), (5010, 5010), (5000, 5010)]
 TRIANGLE = [(0, 0), (800, 0), (0, 600)]
 RING = [[(0, 0), (1000, 0), (1000, 700), (0, 700)], [(200, 100), (600, 100), (600, 500), (200, 500)]]
-LINE_V, LINE_H, LINE_W = [(1000, 0), (1000, 5000)], [(0, 900), (6000, 900)], [(2500, 0), (2500, 1500)]
+LINE_V, LINE_H, LINE_W = [(1000, 0), (1000, 5000)], [(0, 900), (6000, 900)], [(0, 1500), (6000, 1500)]
 IN_A = "{x} > 300 and {x} < 400 and {y} > 200 and {y} < 260"
 IN_B = "{x} > 500 and {x} < 900 and {y} > 300 and {y} < 600"
 ZONES_SQL = f"(({IN_A}) or ({IN_B}))"
@@ -63,7 +63,14 @@ add("det_filter_hole", lambda s, d: filters.filter_detections(X.detections(s, d)
     with_tables("""select * from det where x + w / 2 > 0 and x + w / 2 < 1000 and y + h / 2 > 0 and y + h / 2 < 700
         and not (x + w / 2 >= 200 and x + w / 2 <= 600 and y + h / 2 >= 100 and y + h / 2 <= 500)""", "det"))
 add("det_top_per_frame", lambda s, d: boxes.top_detections(X.detections(s, d), 5, ties=("id", "x", "y", "w", "h")), with_tables("select * from det qualify row_number() over (partition by frame order by conf desc, id, x, y, w, h) <= 5", "det"))
-add("det_nms", lambda s, d: boxes.nms(X.detections(s, d), 0.3))
+KEPT = "greatest(least(r.x + r.w, b.x + b.w) - greatest(r.x, b.x), 0) * greatest(least(r.y + r.h, b.y + b.h) - greatest(r.y, b.y), 0)"
+add("det_nms", lambda s, d: boxes.nms(X.detections(s, d), 0.3, ties=("x", "y", "w", "h", "id")),
+    with_tables(f"""with p as (select *, row_number() over (partition by frame, class order by conf desc, x, y, w, h, id) as rank from det),
+        rem as (select *, rank = 1 as best from p union all
+            select * exclude (best), rank = min(rank) over (partition by frame, class) as best from (
+                select r.* from rem r join rem b on r.frame = b.frame and r.class = b.class
+                where b.best and not r.best and not {KEPT} / greatest(r.w * r.h + b.w * b.h - {KEPT}, 1e-6) > 0.3))
+        select distinct frame, res, x, y, w, h, conf, class, id from rem where best""", "det"))
 
 
 @query("filter_class_file", with_tables("select frame, res, x, y, w, h, conf, class from det where class in (1, 2) and conf >= 0.4", "det"))
@@ -85,9 +92,13 @@ SMALL = [(700, 500), (760, 500), (760, 540), (700, 540)]
 IN_SMALL = "{x} > 700 and {x} < 760 and {y} > 500 and {y} < 540"
 add("tracks_include_exclude", lambda s, d: filters.filter_tracks(X.tracks(s, d), include=[A, B], exclude=[SMALL]).select(*TRACK_COLS),
     with_tables(f"select {TCOLS} from trk where {IN.format(ZONES_SQL.format(**CC))} and not {HAS.format(IN_SMALL.format(**CC))}", "trk"))
+# No box has its left middle in A.
+NEAR = [(200, 100), (300, 100), (300, 200), (200, 200)]
+IN_NEAR = "{x} > 200 and {x} < 300 and {y} > 100 and {y} < 200"
 for anchor, (ax, ay) in G.ANCHORS.items():
     at = {"x": f"(x + w * {ax})", "y": f"(y + h * {ay})"}
-    add(f"tracks_zone_agg_{anchor}", lambda s, d, a=anchor: filters.filter_tracks_by_zones_agg(X.tracks(s, d), [A], "include", a).select(*TRACK_COLS), with_tables(f"select {TCOLS} from trk where {IN.format(IN_A.format(**at))}", "trk"))
+    zone, inside = (NEAR, IN_NEAR) if anchor == "cl" else (A, IN_A)
+    add(f"tracks_zone_agg_{anchor}", lambda s, d, a=anchor, z=zone: filters.filter_tracks_by_zones_agg(X.tracks(s, d), [z], "include", a).select(*TRACK_COLS), with_tables(f"select {TCOLS} from trk where {IN.format(inside.format(**at))}", "trk"))
 moved = {"x": "(x + w / 2 + 25)", "y": "(y + h - 10)"}
 add("tracks_zone_agg_offset", lambda s, d: filters.filter_tracks_by_zones_agg(X.tracks(s, d), [A, SMALL], "exclude", "bc", (25, -10)).select(*TRACK_COLS),
     with_tables(f"select {TCOLS} from trk where not {HAS.format(f'({IN_A.format(**moved)}) or ({IN_SMALL.format(**moved)})')}", "trk"))
@@ -109,7 +120,7 @@ add("tracks_zone_filter", lambda s, d: filters.filter_tracks_by_zones(X.tracks(s
 
 # Lines
 
-HIT = {"v": "x <= 1000 and x + w >= 1000 and y <= 5000 and y + h >= 0", "h": "y <= 900 and y + h >= 900 and x <= 6000 and x + w >= 0", "w": "x <= 2500 and x + w >= 2500 and y <= 1500 and y + h >= 0"}
+HIT = {"v": "x <= 1000 and x + w >= 1000 and y <= 5000 and y + h >= 0", "h": "y <= 900 and y + h >= 900 and x <= 6000 and x + w >= 0", "w": "y <= 1500 and y + h >= 1500 and x <= 6000 and x + w >= 0"}
 LINES_SQL = "hit as (select track, " + ", ".join(f"bool_or({c}) as {k}" for k, c in HIT.items()) + " from smo group by track)"
 SCOLS = ", ".join(SMOOTH_COLS)
 
@@ -197,8 +208,47 @@ add("bbox_interp_cubic", _interp("cubic"))
 
 # Smoothing and linking
 
-add("rts_interpolate", lambda s, d: smoothing.interpolate_tracks(X.tracks(s, d), ties=["event_id"]))
-add("rts_smooth_existing", lambda s, d: smoothing.interpolate_tracks(X.smooth_tracks(s, d), smooth_existing=True))
+STEP = """{0}a + 2 * {0}b + {0}c + 10.0::double / 4 as {0}pa, {0}b + {0}c + 10.0::double / 2 as {0}pb, {0}c + 10.0::double as {0}pc"""
+GAIN = """case when o.frame is null then 0 else {0}pa / ({0}pa + {1}::double) end as {0}g, case when o.frame is null then 0 else {0}pb / ({0}pa + {1}::double) end as {0}h"""
+AXES = (("x", "p"), ("y", "p"), ("w", "s"), ("h", "s"))
+
+
+def _rts_sql(name: str, existing: bool) -> str:
+    """The filter frame by frame and the way back as recursive queries: m_ is a middle or size, v_ its velocity, p and s the
+    variances (a, b, c) of positions and sizes."""
+    first = "".join(f", o_{x} as m_{x}, 0.0::double as v_{x}" for x in "xywh") + "".join(f", 100.0::double as {k}a, 0.0::double as {k}b, 100.0::double as {k}c" for k in "ps")
+    moved = ", ".join(f"m_{x} + v_{x} as m_{x}, v_{x}" for x in "xywh") + ", " + ", ".join(STEP.format(k) for k in "ps")
+    update = ", ".join(f"m_{x} + {k}g * coalesce(o_{x} - m_{x}, 0) as m_{x}, v_{x} + {k}h * coalesce(o_{x} - m_{x}, 0) as v_{x}" for x, k in AXES)
+    update += ", " + ", ".join(f"(1 - {k}g) * {k}pa as {k}a, (1 - {k}g) * {k}pb as {k}b, {k}pc - {k}h * {k}pb as {k}c" for k in "ps")
+    stay = ", ".join(["track", "frame", "f1", *[f"{c}_{x}" for x in "xywh" for c in "mv"], *[f"{k}{c}" for k in "ps" for c in "abc"]])
+    step = lambda source: f"""select u.track, u.frame, u.f1, {update} from (select u.*, o.frame as of, o_x, o_y, o_w, o_h, {GAIN.format("p", 25)}, {GAIN.format("s", 16)}
+        from (select track, frame, f1, {moved} from {source}) u left join obs o on o.track = u.track and o.frame = u.frame) u"""
+    back = ", ".join(
+        f"f.m_{x} + g{k}11 * (b.m_{x} - (f.m_{x} + f.v_{x})) + g{k}12 * (b.v_{x} - f.v_{x}) as m_{x}, f.v_{x} + g{k}21 * (b.m_{x} - (f.m_{x} + f.v_{x})) + g{k}22 * (b.v_{x} - f.v_{x}) as v_{x}" for x, k in AXES
+    )
+    gains = ", ".join(
+        f"(({k}a + {k}b) * {k}pc - {k}b * {k}pb) / ({k}pa * {k}pc - {k}pb * {k}pb) as g{k}11, ({k}b * {k}pa - ({k}a + {k}b) * {k}pb) / ({k}pa * {k}pc - {k}pb * {k}pb) as g{k}12, "
+        f"(({k}b + {k}c) * {k}pc - {k}c * {k}pb) / ({k}pa * {k}pc - {k}pb * {k}pb) as g{k}21, ({k}c * {k}pa - ({k}b + {k}c) * {k}pb) / ({k}pa * {k}pc - {k}pb * {k}pb) as g{k}22" for k in "ps"
+    )
+    ties = "event_id, x" if name == "trk" else "x"
+    smooth = "m_x - greatest(m_w, 1) / 2 as x, m_y - greatest(m_h, 1) / 2 as y, greatest(m_w, 1) as w, greatest(m_h, 1) as h"
+    own = f"select o.frame, o.track, {smooth}, score, cls, 0 as interp, r4 from obs o join bwd using (track, frame)" if existing else "select frame, track, x, y, w, h, score, cls, 0 as interp, r4 from obs"
+    return with_tables(f"""with obs as materialized (select *, x + w / 2 as o_x, y + h / 2 as o_y, w as o_w, h as o_h, lead(frame) over (partition by track order by frame) as nxt
+            from (select * from {name} qualify row_number() over (partition by track, frame order by {ties}) = 1)),
+        ends as materialized (select track, min(frame) as f0, max(frame) as f1, count(*) as n, avg(score) as mean from obs group by track),
+        modes as (select track, cls as often from (select track, cls, count(*) as n from obs group by all) qualify row_number() over (partition by track order by n desc, cls) = 1),
+        start as (select o.track, o.frame - 0 as frame, f1{first} from obs o join ends e on o.track = e.track and o.frame = f0 where n >= 2),
+        fwd as ({step("start")} union all {step("(select track, frame + 1 as frame, " + stay.split(", ", 2)[2] + " from fwd where frame < f1)")}),
+        flt as materialized (select *, {", ".join(STEP.format(k) for k in "ps")} from fwd), gain as materialized (select *, {gains} from flt),
+        bwd as (select track, frame, {", ".join(f"{c}_{x}" for x in "xywh" for c in "mv")} from fwd where frame = f1 union all
+            select f.track, f.frame, {back} from bwd b join gain f on f.track = b.track and f.frame = b.frame - 1),
+        gaps as (select track, cast(unnest(range(frame + 1, nxt)) as int) as frame from obs where nxt - frame between 2 and 31),
+        rows_ as ({own} union all select g.frame, g.track, {smooth}, mean as score, often as cls, 1 as interp, -1 as r4 from gaps g join bwd using (track, frame) join ends using (track) join modes using (track))
+        select frame, track, cast(round_even(x, 0) as int) as x, cast(round_even(y, 0) as int) as y, cast(round_even(w, 0) as int) as w, cast(round_even(h, 0) as int) as h, round_even(score, 6) as score, cls, interp, r4 from rows_""", name)
+
+
+add("rts_interpolate", lambda s, d: _rounded(smoothing.interpolate_tracks(X.tracks(s, d), ties=["event_id"]), "score"), _rts_sql("trk", False))
+add("rts_smooth_existing", lambda s, d: _rounded(smoothing.interpolate_tracks(X.smooth_tracks(s, d), smooth_existing=True), "score"), _rts_sql("smo", True))
 DESC = """r as (select *, x + w / 2 as cx, y + h / 2 as cy, row_number() over (partition by track order by frame desc) as back, count(*) over (partition by track) as n from lnk where interp <> 1),
     k as (select track, min(cls) as cls, min(frame) as t_start, max(frame) as t_end, arg_min(cx, frame) as start_cx, arg_min(cy, frame) as start_cy, arg_max(cx, frame) as end_cx, arg_max(cy, frame) as end_cy,
           arg_max(w, frame) * arg_max(h, frame) as area_end, regr_slope(cx, frame) filter (where back <= 5) as vx, regr_slope(cy, frame) filter (where back <= 5) as vy from r where n >= 2 group by track)"""
@@ -217,7 +267,10 @@ add("link_tracklets", lambda s, d: linking.link_tracklets(X.tracklets(s, d)).sel
         c as (select *, sum(brk) over (partition by usr order by t_start) as chain from s),
         heads as (select track, first_value(track) over (partition by usr, chain order by t_start) as head from c)
         select frame, coalesce(head, track) as track, x, y, cls, interp from lnk left join heads using (track)""", "lnk"))
-add("link_assignment", lambda s, d: _rounded(linking.match(linking.candidates(linking.descriptors(X.tracklets(s, d)))), "cost"))
+# A user's tracklets lie on one way far from all others, so the most links at least cost join each to the next.
+add("link_assignment", lambda s, d: _rounded(linking.match(linking.candidates(linking.descriptors(X.tracklets(s, d)))), "cost"),
+    with_tables(f"""with {DESC}{COST} select a_track, b_track, round_even(dist / (sqrt(area_end) + 1e-6) + 1 - iou, 6) as cost from e
+        qualify row_number() over (partition by a_track order by dt) = 1 and row_number() over (partition by b_track order by dt) = 1""", "lnk"))
 
 # Signals
 
@@ -235,8 +288,8 @@ def _intervals(s, d):
 
 add("signal_walk_intervals", _intervals, with_tables(f"with {ROWS} select signal, status, beg_frame, end_frame from iv", "sig"))
 ZONE_BOXES = [(100, 50, 21, 30), (400, 80, 40, 25)]
-add("signal_labels", lambda s, d: signals.signal_labels(s, _intervals(s, d), ZONE_BOXES, 400).selectExpr("frame", "type", "coords[0][0] cx", "coords[0][1] cy", "color[0] c0", "color[1] c1", "color[2] c2", "size", "thick", "desc"),
-    with_tables(f"""with {ROWS}, g as (select cast(f.range as int) as frame, z.* from range(400) f, (values (0, 110.0::double, 65.0::double, 45.0::double), (1, 420.0::double, 92.0::double, 60.0::double)) z(signal, cx, cy, r)),
+add("signal_labels", lambda s, d: signals.signal_labels(s, _intervals(s, d), ZONE_BOXES, X.signals(s, d).agg(F.max("frame")).first()[0] + 1).selectExpr("frame", "type", "coords[0][0] cx", "coords[0][1] cy", "color[0] c0", "color[1] c1", "color[2] c2", "size", "thick", "desc"),
+    with_tables(f"""with {ROWS}, g as (select cast(f.range as int) as frame, z.* from range((select max(frame) + 1 from sig)) f, (values (0, 110.0::double, 65.0::double, 45.0::double), (1, 420.0::double, 92.0::double, 60.0::double)) z(signal, cx, cy, r)),
         m as (select g.*, (select status from iv where iv.signal = g.signal and g.frame between beg_frame and end_frame order by beg_frame, status limit 1) as st from g)
         select frame, 'circle' as type, cx, cy, 0 as c0, case when coalesce(st, 0) = 0 then 0 else 255 end as c1, case when coalesce(st, 0) = 1 then 0 else 255 end as c2, r as size, 1 as thick, '' as desc from m""", "sig"))
 add("signal_threshold", lambda s, d: signals.threshold_signals(X.table(s, d, "lineitem").groupBy(F.col("l_orderkey").cast("int").alias("frame")).agg(F.array(F.max("l_discount") * 10, F.min("l_tax") * 10).alias("probabilities")), 0.6),
@@ -263,7 +316,9 @@ add("sync_unix_time", lambda s, d: timesync.synchronize(X.videos(s), 10, 1700000
 add("sync_offsets", lambda s, d: timesync.synchronize(X.videos(s), 10, 1700000000123, apply_offsets=True), with_tables(f"with {GRID} select frame, {MS} as unix_time, video from g", "vid"))
 add("sync_local_utc", lambda s, d: timesync.synchronize(X.videos(s), 10, 1700000000123, "UTC", True),
     with_tables(f"with {GRID} select frame, {MS.replace(' + shift', '')} as unix_time, video, strftime(make_timestamp({MS.replace(' + shift', '')} * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '+00:00' as local_time from g", "vid"))
-add("sync_local_time", lambda s, d: timesync.synchronize(X.videos(s), 10, 1700000000123, "US/Eastern", True))
+# In November US/Eastern is five hours behind.
+add("sync_local_time", lambda s, d: timesync.synchronize(X.videos(s), 10, 1700000000123, "US/Eastern", True),
+    with_tables(f"with {GRID} select frame, {MS.replace(' + shift', '')} as unix_time, video, strftime(make_timestamp(({MS.replace(' + shift', '')} - 18000000) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || '-05:00' as local_time from g", "vid"))
 add("seconds_to_frame", lambda s, d: X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", C.seconds_to_frame(F.col("l_quantity") * 1.5, F.lit(29.97)).alias("frame")),
     "select l_orderkey, l_linenumber, cast(trunc(29 * (l_quantity * 1.5::double)) as int) as frame from lineitem")
 add("clip_by_time", lambda s, d: X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in zip(("start_frame", "n"), C.clip_by_seconds(F.col("l_quantity") - 5, F.col("l_tax") * 10 + 0.01, F.lit(29.97)))]),
@@ -292,7 +347,9 @@ add("draw_tracks_tail", lambda s, d: overlay.draw_tracks(X.smooth_tracks(s, d),
         select distinct a.frame, 'circle', trunc(b.x) + trunc(b.w / 2), trunc(b.y) + trunc(b.h / 2), null, null, c0, c1, c2, 1.0::double, -1, '', false, 0.0::double
         from smo a join smo b on a.track = b.track and b.frame between a.frame - 4 and a.frame - 1 join {PAL} on a.track % 12 = k""", "smo"))
 add("draw_dets", lambda s, d: overlay.draw_detections(X.detections(s, d), label_score=False).selectExpr(*FLAT), with_tables(f"select distinct * from ({BOX_SQL.format('det', 'class::varchar', 'class')})", "det"))
-add("draw_dets_score", lambda s, d: overlay.draw_detections(X.detections(s, d), _names(s), color=(1, 2, 3)).selectExpr(*FLAT))
+add("draw_dets_score", lambda s, d: overlay.draw_detections(X.detections(s, d), _names(s), color=(1, 2, 3)).selectExpr(*FLAT),
+    with_tables(f"""select distinct frame, 'bbox' as type, x as x0, y as y0, x + w as x1, y + h as y1, 1 as c0, 2 as c1, 3 as c2, 1.0::double as size, 2 as thick,
+        coalesce(n.name, '') || ' ' || printf('%.1f', round_even(conf, 1)) as desc, false as fill, 0.0::double as alpha from det left join {NAMES} n(id, name) on class = n.id""", "det"))
 SHAPES = ["LINESTRING (0 0, 10 5)", {"type": "circle", "geometry": [7, 8], "color": (9, 8, 7), "size": 3}]
 add("draw_shapes", lambda s, d: overlay.draw_shapes(s, SHAPES, overlay.draw_tracks(X.smooth_tracks(s, d), color=(1, 2, 3))).where("type <> 'bbox'").selectExpr(*FLAT),
     with_tables("""select frame, 'polylines' as type, 0.0::double as x0, 0.0::double as y0, 10.0::double as x1, 5.0::double as y1, 0 as c0, 255 as c1, 255 as c2, 4.0::double as size, 2 as thick, '' as desc, false as fill, 0.0::double as alpha
