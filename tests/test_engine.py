@@ -347,3 +347,46 @@ def test_smoothing_in_small_blocks_gives_the_same(spark, monkeypatch):
     whole = sorted(smoothing.interpolate_tracks(df).collect())
     monkeypatch.setattr(smoothing, "CELLS", 50)
     assert sorted(smoothing.interpolate_tracks(df).collect()) == whole and len(whole) > len(rows)
+
+
+def test_class_names_pairs_and_views(spark, tmp_path):
+    names = {r.id: r.name for r in files.load_class_dict(spark).collect()}
+    assert len(names) == 80 and (names[0], names[2], names[36], names[79]) == ("person", "car", "skateboard", "toothbrush")
+    assert files.load_classes(spark).count() == 80
+    (tmp_path / "empty.names").write_text("")
+    with pytest.raises(ValueError):
+        files.load_classes(spark, str(tmp_path / "empty.names"))
+    pairs = files.pair_files(spark, ["a_iou.txt", "b_iou.txt"], ["a.mp4", "b.mp4"]).collect()
+    assert [tuple(r) for r in pairs] == [(0, "a_iou.txt", "a.mp4"), (1, "b_iou.txt", "b.mp4")]
+    assert files.pair_files(spark, ["a"]).first().video is None
+    with pytest.raises(ValueError):
+        files.pair_files(spark, ["a", "b"], ["a"])
+    spark.createDataFrame([("cam", 5)], "video_id string, n_frames int").write.parquet(str(tmp_path / "videos"))
+    files.write_table(spark.createDataFrame([(3, 1, 0.0, 0.0, 2.0, 2.0, 0.5, 1, -1, -1)], "frame int, track int, x double, y double, w double, h double, score double, cls int, r3 int, r4 int"), str(tmp_path / "tracks"))
+    assert files.register_views(spark, str(tmp_path)) == ["tracks", "videos"]
+    assert spark.sql("select count(*) n from tracks cross join videos where frame < n_frames").first().n == 1
+
+
+def test_seek_lists_elements_and_order(spark):
+    frames = spark.createDataFrame([("a", -1), ("a", 0), ("a", 4), ("a", 5), ("b", 1), ("c", 0)], "video_id string, frame int")
+    videos = spark.createDataFrame([("a", 5), ("b", 0)], "video_id string, n_frames int")
+    assert sorted(map(tuple, overlay.seek_list(frames, videos).collect())) == [("a", 0), ("a", 4)]
+    shape = {"type": "circle", "geometry": [7, 8], "transparant": 0.25}
+    draw = overlay.draw_shapes(spark, shape)
+    assert draw.count() == 1 and draw.first().alpha == 0.25
+    tracks = spark.createDataFrame([(f, t, 1.0 * t, 1.0, 2.0, 2.0) for f in (3, 1, 2) for t in (1, 2)], "frame int, track int, x double, y double, w double, h double")
+    rows = overlay.draw_tracks(tracks)
+    assert {r.frame: len(r.elements) for r in overlay.elements_by_frame(rows).collect()} == {1: 2, 2: 2, 3: 2}
+    assert [r.frame for r in overlay.in_frame_order(rows).collect()] == [1, 1, 2, 2, 3, 3]
+
+
+def test_tracker_by_class_and_from_files(spark, tmp_path):
+    boxes = [(0, f, 10.0 + f, 10.0, 20.0, 20.0, 0.9, f % 2) for f in range(8)]  # one box whose class alternates
+    dets = spark.createDataFrame(boxes, "video_id int, frame int, x double, y double, w double, h double, conf double, class int")
+    ids = lambda config: {r.track for r in tracking.Tracker(config).track(dets).collect()}
+    assert ids(tracking.ByteTrackConfig()) == {1}
+    assert len(ids(tracking.ByteTrackConfig(per_class=True))) >= 1 and {r.cls for r in tracking.Tracker(tracking.ByteTrackConfig(per_class=True)).track(dets).where("track = 1").collect()} == {0}
+    path = str(tmp_path / "own" / "tracker.yaml")
+    tracking.Tracker(tracking.ByteTrackConfig(track_buffer=7)).export_current_config_to_yaml(path)
+    assert tracking.Tracker(tracking.OCSORTConfig(), config_yaml=path).config == tracking.ByteTrackConfig(track_buffer=7)
+    assert tracking.Tracker().config.model == tracking.MOTModels.BOTSORT

@@ -148,7 +148,7 @@ def _pairs(geometry) -> tuple[str, list[tuple[float, float]]]:
 
 def shape_row(shape, index: int) -> tuple:
     """An overlay element without its frame from a shape: a geometry, or a dict of type, geometry, color, fill,
-    alpha (transparent), size, thick and desc. Wrong point counts raise ValueError."""
+    alpha (also as transparent or transparant), size, thick and desc. Wrong point counts raise ValueError."""
     s = shape if isinstance(shape, dict) else {"geometry": shape}
     raw = s.get("geometry")
     geometry, points = _pairs(raw)
@@ -170,7 +170,7 @@ def shape_row(shape, index: int) -> tuple:
         points = [*points, points[0]]
     color = s.get("color")
     color = [int(v) for v in color[:3]] if color is not None and len(color) >= 3 else list(PALETTE[index % len(PALETTE)])
-    alpha = min(max(float(s.get("alpha", s.get("transparent", 0.0))), 0.0), 1.0)
+    alpha = min(max(float(s.get("alpha", s.get("transparent", s.get("transparant", 0.0)))), 0.0), 1.0)
     return element, [list(p) for p in points], color, float(s.get("size", 4.0)), int(s.get("thick", 2)), str(s.get("desc", "")), bool(s.get("fill", False)), alpha
 
 
@@ -183,6 +183,7 @@ def shapes_table(spark: SparkSession, shapes: Sequence) -> DataFrame:
 def draw_shapes(spark: SparkSession, shapes: Sequence, base: DataFrame | None = None) -> DataFrame:
     """base with every shape in every frame of it; frame 0 where it has none. The shapes are literal parameters."""
     base = spark.createDataFrame([], DRAW) if base is None else base
+    shapes = [shapes] if isinstance(shapes, (dict, str)) else shapes
     if not shapes:
         return base
     frames = base.select(F.col("frame").cast("int").alias("frame")).distinct()
@@ -228,3 +229,20 @@ def frame_files(frames: DataFrame, prefix: str | None = None, track: bool = Fals
     cols = ["track", "frame"] if track else ["frame"]
     name = F.concat(F.lit(f"{prefix}-" if prefix else ""), F.concat_ws("_", *[F.col(c).cast("string") for c in cols]), F.lit(".jpg"))
     return frames.select(*cols, name.alias("file")).distinct()
+
+
+def seek_list(frames: DataFrame, videos: DataFrame, by: str = "video_id") -> DataFrame:
+    """Frames (by, frame) that their video (by, n_frames) has: from 0 to n_frames - 1. Frames of unknown videos go."""
+    inside = (frames[by] == videos[by]) & (frames["frame"] >= 0) & (frames["frame"] < videos["n_frames"])
+    return frames.join(videos, inside, "left_semi")
+
+
+def elements_by_frame(draw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, frame, elements): the draw rows of each frame as one array, for writers that go frame by frame."""
+    own = [c for c in draw.columns if c not in (*by, "frame")]
+    return draw.groupBy(*by, "frame").agg(F.collect_list(F.struct(*own)).alias("elements"))
+
+
+def in_frame_order(draw: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The draw rows ordered by frame; within a frame by type, then coordinates."""
+    return draw.orderBy(*by, "frame", "type", "coords")

@@ -221,6 +221,24 @@ class ByteTracker:
         return [(t["id"], *self._box(t), t["score"], t["cls"]) for t in self.tracks if t["active"] and t["seen"]]
 
 
+class ByClass:
+    """A tracker for each class, all with ids of one sequence."""
+
+    def __init__(self, make):
+        self.make, self.each, self.ids = make, {}, {}
+
+    def step(self, dets: np.ndarray) -> list[tuple]:
+        """As of one tracker; every class that was ever seen is stepped, in the order of its number."""
+        dets = np.asarray(dets, float).reshape(-1, 6)
+        for c in np.unique(dets[:, 5]).tolist():
+            self.each.setdefault(c, self.make())
+        out = []
+        for c in sorted(self.each):
+            for hit in self.each[c].step(dets[dets[:, 5] == c]):
+                out.append((self.ids.setdefault((c, hit[0]), len(self.ids) + 1), *hit[1:]))
+        return out
+
+
 OUT = "frame int, track int, x int, y int, w int, h int, score double, cls int, r3 int, r4 int"
 
 
@@ -233,7 +251,8 @@ def track(dets: DataFrame, config: MOTBaseConfig | None = None, by: Sequence[str
 
     dets: *by, frame, x, y, w, h, conf, class. Frames are stepped in order from the first to the last, empty
     ones too. Only the geometric ByteTrack parameters are known here; others raise ValueError. A video is one
-    sequential state and so one task; videos run in parallel.
+    sequential state and so one task; videos run in parallel. With per_class boxes of different classes never
+    meet in a track.
     """
     config = config or ByteTrackConfig()
     known = set(DEFAULTS[MOTModels.BYTE_TRACK]) | {"low_thresh"}
@@ -243,7 +262,7 @@ def track(dets: DataFrame, config: MOTBaseConfig | None = None, by: Sequence[str
     keys = list(by)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker = ByteTracker(**options)
+        tracker = ByClass(lambda: ByteTracker(**options)) if config.per_class else ByteTracker(**options)
         pdf = pdf.sort_values(["frame", "conf", "x", "y", "w", "h"], ascending=[True, False, True, True, True, True])
         groups = {f: g for f, g in pdf.groupby("frame")}
         first = min(groups) if start_frame is None else start_frame
@@ -274,3 +293,24 @@ def track_batch(spark, det_paths: Sequence[str], out_path: str, config: MOTBaseC
     out = track(dets, config, output_score_cls=output_score_cls)
     out.write.mode("overwrite" if overwrite else "append").partitionBy("video_id").csv(out_path)
     return dets.groupBy("video_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+class Tracker:
+    """A configuration (a file's over an object's, BoT-SORT's without either) and what runs with it."""
+
+    def __init__(self, config: MOTBaseConfig | None = None, config_yaml: str | None = None, output_score_cls: bool = True):
+        self.config = import_config(config_yaml) if config_yaml else config or BoTSORTConfig()
+        self.output_score_cls = output_score_cls
+
+    def track(self, dets: DataFrame, by: Sequence[str] = ("video_id",), **frames) -> DataFrame:
+        return track(dets, self.config, by, output_score_cls=self.output_score_cls, **frames)
+
+    def track_batch(self, spark, det_paths: Sequence[str], out_path: str, **more) -> DataFrame:
+        return track_batch(spark, det_paths, out_path, self.config, output_score_cls=self.output_score_cls, **more)
+
+    def export_current_config_to_yaml(self, path: str) -> None:
+        self.config.export_yaml(path)
+
+    export_current_params_to_yaml = export_current_config_to_yaml
+    export_config_to_yaml = export_params_to_yaml = staticmethod(lambda path, config: config.export_yaml(path))
+    import_config_from_yaml = import_params_from_yaml = staticmethod(import_config)

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 from . import schema as S
 
+# What register_views looks for.
+TABLES = ("detections", "tracks", "videos", "signals", "intervals", "labels", "time_map")
+
 
 def read_table(spark: SparkSession, path: str | Sequence[str], schema: T.StructType, header: bool = False, video_from_name: str | None = None) -> DataFrame:
     """CSV with a fixed schema; malformed rows fail. video_from_name: a suffix that, cut off the file's stem, leaves
@@ -84,17 +87,59 @@ def write_time_map(df: DataFrame, path: str) -> None:
     write_table(df, path, header=True, partition_by=["video"])
 
 
-def load_class_dict(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name) by line number; blank lines are left out but keep their number. One file of names, read on the driver."""
-    names = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
-    lines = names[0].splitlines() if names else []
-    return spark.createDataFrame([(k, n.strip()) for k, n in enumerate(lines) if n.strip()], "id int, name string")
+# The class names of the usual detection models, by number.
+CLASS_NAMES = """person, bicycle, car, motorbike, aeroplane, bus, train, truck, boat, traffic light, fire hydrant, stop sign, parking meter, bench,
+bird, cat, dog, horse, sheep, cow, elephant, bear, zebra, giraffe, backpack, umbrella, handbag, tie, suitcase, frisbee, skis, snowboard, sports ball,
+kite, baseball bat, baseball glove, skateboard, surfboard, tennis racket, bottle, wine glass, cup, fork, knife, spoon, bowl, banana, apple, sandwich,
+orange, broccoli, carrot, hot dog, pizza, donut, cake, chair, sofa, pottedplant, bed, diningtable, toilet, tvmonitor, laptop, mouse, remote, keyboard,
+cell phone, microwave, oven, toaster, sink, refrigerator, book, clock, vase, scissors, teddy bear, hair drier, toothbrush"""
 
 
-def load_classes(spark: SparkSession, path: str) -> DataFrame:
-    """(id, name) by position among the lines that are not blank."""
-    names = load_class_dict(spark, path).orderBy("id").collect()
-    return spark.createDataFrame([(k, r["name"]) for k, r in enumerate(names)], "id int, name string")
+def _class_lines(spark: SparkSession, path: str | None) -> list[str]:
+    if not path:
+        return [" ".join(n.split()) for n in CLASS_NAMES.split(",")]
+    names = [r["value"] for r in spark.read.text(path, wholetext=True).collect()]
+    lines = names[0].splitlines() if names else []
+    if not lines:
+        raise ValueError(f"the file of class names is empty: {path}")
+    return [n.strip() for n in lines]
+
+
+def load_class_dict(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(id, name) by line number; blank lines are left out but keep their number. One file of names, read on the driver; without
+    one the usual 80 classes. An empty file raises ValueError."""
+    return spark.createDataFrame([(k, n) for k, n in enumerate(_class_lines(spark, path)) if n], "id int, name string")
+
+
+def load_classes(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(id, name) by position among the lines that are not blank; without a file the usual 80 classes."""
+    names = [n for n in _class_lines(spark, path) if n]
+    if not names:
+        raise ValueError(f"the file of class names is empty: {path}")
+    return spark.createDataFrame(list(enumerate(names)), "id int, name string")
+
+
+def pair_files(spark: SparkSession, detections: Sequence[str], videos: Sequence[str] | None = None) -> DataFrame:
+    """(position, detections, video): files paired by position, without videos null. Lists of different length raise
+    ValueError."""
+    if videos is not None and len(videos) != len(detections):
+        raise ValueError("there must be as many videos as detection files")
+    rows = [(k, d, videos[k] if videos else None) for k, d in enumerate(detections)]
+    return spark.createDataFrame(rows, "position int, detections string, video string")
+
+
+def register_views(spark: SparkSession, folder: str, names: Sequence[str] = TABLES) -> list[str]:
+    """Temporary views for spark.sql of the typed tables <folder>/<name> that are there: detections and tracks as text tables,
+    any other name as Parquet. Returns the names registered."""
+    found = []
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            read = {"detections": read_detections, "tracks": read_tracks}.get(name)
+            df = read(spark, path.toString()) if read else spark.read.parquet(path.toString())
+            df.createOrReplaceTempView(name)
+            found.append(name)
+    return found
 
 
 def batch_manifest(sources: DataFrame, suffix: str, cut: str = "", done: DataFrame | None = None, overwrite: bool = False) -> DataFrame:
