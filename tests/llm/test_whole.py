@@ -1,5 +1,6 @@
 """Results that are right for all inputs, also those that the driver's tables don't hold."""
 
+import os
 import random
 import resource
 import struct
@@ -211,3 +212,39 @@ def test_mix_and_line_dedup_run_no_python(spark):
     for out in (mixing.repeated(mixing.mix_sources(docs)), line_dedup.dedup_lines(docs)):
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_registered_ann_search_finds_the_true_neighbours(spark):
+    from trajekt.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    rows = sorted((r.vec_id, r.embedding) for r in queries.table(spark, sf, "embeddings").collect())
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    got: dict[int, dict[int, float]] = {}
+    for r in queries.op4_ann_search(spark, sf).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[asked].tolist()) and all(len(v) == 20 for v in got.values())
+    found = 0
+    for k in asked:
+        score = x @ x[k]
+        score[k] = -np.inf
+        best = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+        found += len(best & set(got[int(ids[k])]))
+        assert all(abs(s - float(x[np.searchsorted(ids, i)] @ x[k])) < 1e-12 for i, s in got[int(ids[k])].items())
+    assert found >= 0.95 * 20 * len(asked)
+
+
+def test_vectors_of_a_group_larger_than_a_block(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(300, 16))
+    x[150:] = x[:150] + rng.normal(size=(150, 16)) * rng.choice([0.02, 0.4], (150, 1))
+    df = spark.createDataFrame([(k, v.tolist(), k % 2) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (unit @ unit.T >= 0.93) & (np.arange(300)[:, None] % 2 == np.arange(300)[None] % 2) & ~np.eye(300, dtype=bool)
+    for block, tile in ((4096, 512), (16, 5), (4096, 7)):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df).collect()}
+        assert got == {k: int(linked[k].sum()) for k in range(300)}

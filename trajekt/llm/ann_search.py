@@ -15,7 +15,7 @@ COLUMNS = 16
 # Standard errors by which a partial product must miss the query's k-th best before a candidate is abandoned.
 ERRORS = 3.5
 LIST_BLOCK = 8192
-QUERY_BLOCK = 256
+QUERY_BLOCK = 2048
 
 
 def scan(queries: np.ndarray, rows: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -46,7 +46,7 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, step: int = 256) -> tupl
             if b < dim:
                 live = sums + ERRORS * rest_q[n + 1][q] * rest_r[n + 1][start + r] / np.sqrt(dim - b) >= bound[q]
                 q, r, sums = q[live], r[live], sums[live]
-        live = sums >= bound[q] - 1e-9
+        live = sums >= bound[q] - 1e-12 * rest_q[0][q] * rest_r[0][start + r]
         q, r, sums = q[live], r[live], sums[live]
         out_q.append(q)
         out_r.append(r + start)

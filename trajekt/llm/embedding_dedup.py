@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import components, least_labels, whole_groups, written
 from .vectors import centroids, matrix, rotation, sample, valid_vectors
 
-BLOCK = 512
+# Vectors that are compared at a time in a task, which gets two blocks of them, and how many of these at once.
+BLOCK = 4096
+TILE = 512
 SEED = 711
 # Pairs are rejected only where a cosine at the threshold would put the estimate this many standard errors away.
 ERRORS = 6.0
@@ -37,6 +39,19 @@ def doubtful(query: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold:
     return estimate >= (threshold - ERRORS * error - 1e-4).astype(np.float32)
 
 
+def _pairs(query: np.ndarray, code: np.ndarray, factor: np.ndarray, threshold: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The doubtful pairs, tile by tile; of a block with itself each pair once."""
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, len(query), TILE):
+        for b in range(a if same else 0, len(code), TILE):
+            i, j = np.nonzero(doubtful(query[a : a + TILE], code[b : b + TILE], factor[b : b + TILE], threshold))
+            i, j = i + a, j + b
+            once = i < j if same else slice(None)
+            rows.append(i[once])
+            cols.append(j[once])
+    return np.concatenate(rows), np.concatenate(cols)
+
+
 def near_duplicate_vectors(
     df: DataFrame,
     *,
@@ -128,10 +143,8 @@ def near_duplicate_vectors(
                 turn = turns[x.shape[1]]
                 left, right = x[: m - a], x[m - a :] if m < b else x
                 code, factor = encode(right, turn)
-                i, j = np.nonzero(doubtful(left @ turn.T, code, factor, threshold))
-                if m == b:
-                    i, j = i[i < j], j[i < j]
-                else:
+                i, j = _pairs(left @ turn.T, code, factor, threshold, m == b)
+                if m < b:
                     j = j + (m - a)
                 exact = np.concatenate([(x[i[k : k + 65536]] * x[j[k : k + 65536]]).sum(axis=1) for k in range(0, len(i), 65536)] or [np.zeros(0)])
                 i, j = i[exact >= threshold], j[exact >= threshold]

@@ -217,8 +217,10 @@ def train(
     both = (F.col("n1") + F.col("n0")) / F.lit(float(sum(sizes.values())))
     part = lambda n, rate: F.when(F.col(n) > 0, F.col(n) * F.ln(rate / both)).otherwise(F.lit(0.0))
     counted = counted.withColumn("g2", part("n1", a) + part("n0", b)).where(f"g2 > {LEAST_EVIDENCE}")
-    best = lambda c: [r["unit"] for r in counted.where(c).orderBy(F.desc("g2"), "unit").limit(max_units).collect()]
-    for_, against = best((F.col("n1") >= min_support) & (a > 8 * b + F.lit(2.0 / sizes[1]))), best((F.col("n0") >= min_support) & (b > 1.5 * a))
+    sides = ((F.col("n1") >= min_support) & (a > 8 * b + F.lit(2.0 / sizes[1])), (F.col("n0") >= min_support) & (b > 1.5 * a))
+    best = [counted.where(c).orderBy(F.desc("g2"), "unit").limit(max_units).select(F.lit(k).alias("side"), "g2", "unit") for k, c in enumerate(sides)]
+    best = sorted((r["side"], -r["g2"], r["unit"]) for r in best[0].union(best[1]).collect())
+    for_, against = ([u for k, _, u in best if k == side] for side in (0, 1))
     vocabulary = {u: k for k, u in enumerate([*for_, *against])}
     got = rows.mapInArrow(_hits_of(vocabulary), "hits array<int>, patterns array<int>, y int").collect()
     x = np.zeros((len(got), len(vocabulary) + len(_PATTERNS)), np.int8)
