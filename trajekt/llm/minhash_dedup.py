@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Forest, components, least_labels, mix, text_slices, whole_groups, word_hashes, written
+from .common import Forest, components, least_labels, mix, sieve, text_slices, whole_groups, word_hashes, written
 
 # Components of a signature, 16 bits each.
 COMPONENTS = 64
@@ -358,7 +358,8 @@ def near_duplicates(
     groups = components(close, "minhash-close")
     part = groups.join(classes.select(F.col("rep").alias("node"), "sig", "n"), "node").select(F.col("node").alias("rep"), F.col("root").alias("grp"), "sig", "n")
     part = written(part, "minhash-candidates", n)
-    texts = d.join(part.select(F.col("rep").alias("id")), "id").dropDuplicates(["id"])
+    # Texts of other documents are sieved out before the join; it is a merge join at every size.
+    texts = sieve(d, ["id"], part, ["rep"])[0].join(part.select(F.col("rep").alias("id")).hint("merge"), "id").dropDuplicates(["id"])
     sets = written(texts.select("id", "text").mapInArrow(_full_sets(words), "rep long, set array<long>"), "minhash-sets")
     ends = close.select("a", "b", "apart").union(close.select("b", "a", "apart"))
     best = ends.groupBy("a").agg(F.min(F.struct("apart", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
