@@ -105,6 +105,9 @@ def test_texts_in_parts_encode_as_a_whole(monkeypatch):
     ids, same = codec.encode_texts(texts)
     assert [i.tolist() for i in ids] == [sp.encode(t) for t in texts]
     assert same == ["▁" not in t for t in texts]
+    monkeypatch.setattr(sentencepiece_codec, "SHORT_WORD", 3)  # most words by walking back
+    codec.forget()
+    assert codec.encode(texts) == [sp.encode(t) for t in texts]
 
 
 def grown(work):

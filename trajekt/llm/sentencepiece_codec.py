@@ -25,9 +25,11 @@ MARK = "▁"
 # Distinct words remembered per Python worker and generation, and characters of these at most.
 MEMO_WORDS = 250_000
 MEMO_CHARS = 3_000_000
+# Words of at most this many characters keep the ids of all their prefixes while the trie is walked.
+SHORT_WORD = 48
 # What is remembered of pieces and pairs of pieces.
 KNOWN_PIECES = 100_000
-KNOWN_PAIRS = 200_000
+KNOWN_PAIRS = 250_000
 # Texts are taken in parts of about this many characters, cut between words.
 PART_CHARS = 262_144
 UNIGRAM, BPE = 1, 2
@@ -106,6 +108,8 @@ class Codec:
         for b, i in self.bytes.items():
             self.raw[i] = bytes([b])
         self.raw[self.unknown] = " ⁇ ".encode()
+        self.follows: dict[tuple[str, str], bool] = {}
+        self.known: dict[str, list[tuple[float, str, str]] | None] = {}
         self.forget()
         # Pieces that can come up (in BPE: that their characters do merge to), and all their tails.
         self.pieces = {p: i for p, i in self.id.items() if self.kind == UNIGRAM or self.steps(p) is not None}
@@ -113,9 +117,7 @@ class Codec:
         self.unknown_score = _float(min(self.score.values(), default=0.0) - 10.0)
 
     def forget(self) -> None:
-        """Empty all that is remembered of words and pieces."""
-        self.follows: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[tuple[float, str, str]] | None] = {}
+        """Empty what is remembered of words. What is known of pieces and their pairs is small and stays."""
         self.memo: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.chars = 0
@@ -177,13 +179,15 @@ class Codec:
         self.follows[key] = ok
         return ok
 
-    def encode_words(self, words: list[str]) -> None:
-        """Depth-first over the trie that the sorted words form; the path's forward states stay for the words that share it."""
+    def encode_words(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """Ids of marked words: depth-first over the trie that the sorted words form; the path's forward states stay for the words that share it."""
+        short = [w for w in words if len(w) <= SHORT_WORD] if self.kind == BPE else []
+        out = self.encode_short(sorted(short))
         forward = self.forward_bpe if self.kind == BPE else self.forward_unigram
         last: list[str] = [""]
         best: list[float] = [0.0]
         before = ""
-        for word in sorted(words):
+        for word in sorted(words if self.kind == UNIGRAM else (w for w in words if len(w) > SHORT_WORD)):
             shared = 0
             for x, y in zip(word, before):
                 if x != y:
@@ -191,9 +195,50 @@ class Codec:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
             forward(word, last, best)
-            self.memo[word] = self.walk_back(word, last)
-            self.chars += len(word)
+            out[word] = self.walk_back(word, last)
             before = word
+        self.chars += sum(map(len, words))
+        return out
+
+    def encode_short(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+        """The same for sorted short words and BPE; the ids of each prefix are kept with its state, as they are few."""
+        pieces, tails, follows = self.pieces, self.tails, self.follows
+        out: dict[str, tuple[int, ...]] = {}
+        last: list[str] = [""]
+        ids: list[tuple[int, ...]] = [()]
+        before = ""
+        for word in words:
+            shared = 0
+            for x, y in zip(word, before):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1 :], ids[shared + 1 :]
+            for end in range(shared + 1, len(word) + 1):
+                begin = end - 1
+                piece = word[begin:end]
+                while True:
+                    own = pieces.get(piece)
+                    if own is not None or begin == end - 1:
+                        ok = begin == 0 or follows.get((last[begin], piece))
+                        if ok is None:
+                            ok = self.may_follow(last[begin], piece)
+                        if ok:
+                            last.append(piece)
+                            if own is not None:
+                                ids.append((*ids[begin], own))
+                            elif self.bytes:
+                                ids.append(ids[begin] + self.spelled(piece))
+                            else:  # a run of unknown characters is one unknown id
+                                ids.append(ids[begin] if begin and last[begin] not in pieces else (*ids[begin], self.unknown))
+                            break
+                    begin -= 1
+                    piece = word[begin:end]
+                    if begin < 0 or piece not in tails:
+                        raise AssertionError(f"no piece ends at {end} of {word!r}")
+            out[word] = ids[-1]
+            before = word
+        return out
 
     def forward_bpe(self, word: str, last: list[str], best: list[float]) -> None:
         """Append the last piece of each further prefix's BPE segmentation."""
@@ -260,12 +305,15 @@ class Codec:
 
     @staticmethod
     def words(text: str) -> list[str]:
-        """Marked words: marks stay with the characters that follow them; an own mark opens the text."""
+        """Words of a text. Between single blanks a word is as it stands, its mark left out; where blanks or marks follow one
+        another, words come with their marks, which stay with the characters that follow them."""
         if not text:
             return []
+        if MARK not in text:
+            parts = text.split(" ")
+            if "" not in parts:
+                return parts
         parts = text.replace(" ", MARK).split(MARK)
-        if "" not in parts:
-            return [MARK + p for p in parts]
         out, marks = [], ""
         for p in parts:
             marks += MARK
@@ -293,7 +341,7 @@ class Codec:
     def encode_parts(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text (a part, or whole), and whether they decode to it."""
         split = [self.words(t) for t in texts]
-        words = {w for ws in split for w in ws}
+        words = set().union(*split)
         new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_WORDS or self.chars > MEMO_CHARS:  # two generations: frequent words stay
             self.older, self.memo, self.chars = self.memo, {}, 0
@@ -302,14 +350,18 @@ class Codec:
         self.memo.update({w: self.older[w] for w in old})
         new -= old
         if new:
-            self.encode_words(list(new))
+            marked = {w: w if w[0] == MARK else MARK + w for w in new}
+            found = self.encode_words(list(set(marked.values())))
+            self.memo.update((w, found[m]) for w, m in marked.items())
         get, raw = self.memo.__getitem__, self.raw.__getitem__
         out, same = [], []
         for text, ws in zip(texts, split):
             ids = list(chain.from_iterable(map(get, ws)))
-            out.append(np.array(ids, np.int32))
+            out.append(ids)
             same.append(b"".join(map(raw, ids)) == (b" " + text.encode() if text else b""))
-        return out, same
+        ends = np.cumsum([0] + [len(ids) for ids in out])
+        flat = np.fromiter(chain.from_iterable(out), np.int32, int(ends[-1]))
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], same
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [ids.tolist() for ids in self.encode_texts(texts)[0]]
@@ -358,7 +410,7 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
         c = codec(model)
         try:
             for batch in batches:
-                for start, stop in text_slices(batch.column(at)):
+                for start, stop in text_slices(batch.column(at), 2 << 20):
                     part = batch.slice(start, stop - start)
                     missing = pc.is_null(part.column(at))
                     ids, same = c.encode_texts(pc.fill_null(part.column(at), "").to_pylist())
