@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -118,8 +117,9 @@ class Codec:
 
     def forget(self) -> None:
         """Empty what is remembered of words. What is known of pieces and their pairs is small and stays."""
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.bad: set[str] = set()
         self.chars = 0
 
     def steps(self, piece: str) -> list[tuple[float, str, str]] | None:
@@ -345,6 +345,7 @@ class Codec:
         new = words.difference(self.memo)
         if len(self.memo) + len(new) > MEMO_WORDS or self.chars > MEMO_CHARS:  # two generations: frequent words stay
             self.older, self.memo, self.chars = self.memo, {}, 0
+            self.bad &= self.older.keys()
             new = words
         old = new.intersection(self.older)
         self.memo.update({w: self.older[w] for w in old})
@@ -352,16 +353,14 @@ class Codec:
         if new:
             marked = {w: w if w[0] == MARK else MARK + w for w in new}
             found = self.encode_words(list(set(marked.values())))
-            self.memo.update((w, found[m]) for w, m in marked.items())
-        get, raw = self.memo.__getitem__, self.raw.__getitem__
-        out, same = [], []
-        for text, ws in zip(texts, split):
-            ids = list(chain.from_iterable(map(get, ws)))
-            out.append(ids)
-            same.append(b"".join(map(raw, ids)) == (b" " + text.encode() if text else b""))
-        ends = np.cumsum([0] + [len(ids) for ids in out])
-        flat = np.fromiter(chain.from_iterable(out), np.int32, int(ends[-1]))
-        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], same
+            raw = self.raw.__getitem__
+            self.bad.update(w for w, m in marked.items() if b"".join(map(raw, found[m])) != m.replace(MARK, " ").encode())
+            self.memo.update((w, struct.pack(f"{len(found[m])}i", *found[m])) for w, m in marked.items())
+        get = self.memo.__getitem__
+        packed = [b"".join(map(get, ws)) for ws in split]
+        # The words of a text decode to it, but where one has unknown characters or the text itself has a mark.
+        same = [MARK not in t and self.bad.isdisjoint(ws) for t, ws in zip(texts, split)]
+        return [np.frombuffer(p, np.int32) for p in packed], same
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [ids.tolist() for ids in self.encode_texts(texts)[0]]
