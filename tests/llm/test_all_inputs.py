@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from trajekt.llm import common, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, token_counts
+from trajekt.llm import ann_search, common, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec, token_counts
 
 
 def test_special_strings_in_any_case_count_as_the_library_does():
@@ -251,3 +251,35 @@ def test_vectors_of_a_group_larger_than_a_block(spark, monkeypatch):
         monkeypatch.setattr(embedding_dedup, "TILE", tile)
         got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicate_vectors(df).collect()}
         assert got == {k: int(linked[k].sum()) for k in range(300)}
+
+
+@pytest.mark.parametrize("kind", ["families", "shifted", "sizes"])
+def test_ann_scan_keeps_neighbours_that_are_much_alike(kind):
+    rng = np.random.default_rng(12)
+    n, dim, k = 4000, 64, 21
+    x = rng.normal(size=(n, dim))
+    if kind == "families":
+        x = rng.normal(size=(12, dim))[rng.integers(0, 12, n)] + 0.3 * x
+    elif kind == "shifted":
+        x += 2
+    else:
+        x *= np.exp(rng.normal(size=(n, 1)))
+    turn = ann_search.rotation(dim, ann_search.SEED)
+    q, r = ann_search.scan(x[::20] @ turn.T, x @ turn.T, k)
+    kept = set(zip(q.tolist(), r.tolist()))
+    best = np.argsort(-(x[::20] @ x.T), axis=1)[:, :k]
+    assert sum((a, b) in kept for a, row in enumerate(best.tolist()) for b in row) >= 0.99 * best.size
+    assert len(kept) < 0.25 * n * len(best)
+
+
+def test_ann_lists_are_probed_as_the_queries_need(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(3000, 16))
+    x[::20] += 3 * rng.normal(size=16)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    found = 0
+    for r in ann_search.search(df, F.col("vec_id") % 20 == 0, k=20).groupBy("query_id").agg(F.collect_set("vec_id").alias("ids")).collect():
+        score = x @ x[r.query_id]
+        score[r.query_id] = -np.inf
+        found += len(set(r.ids) & set(np.argsort(-score)[:20].tolist()))
+    assert found >= 0.95 * 3000

@@ -12,7 +12,9 @@ from .vectors import centroids, matrix, rotation, sample, valid_vectors
 
 SEED = 404
 COLUMNS = 16
-# Standard errors by which a partial product must miss the query's k-th best before a candidate is abandoned.
+# Queries whose true neighbours set the number of lists probed.
+TRIED = 256
+# Standard errors by which a partial product must fall short before a candidate is abandoned.
 ERRORS = 3.5
 LIST_BLOCK = 8192
 QUERY_BLOCK = 2048
@@ -21,33 +23,47 @@ QUERY_BLOCK = 2048
 def scan(queries: np.ndarray, rows: np.ndarray, k: int, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, row) that survive the scan, column block after column block.
 
-    Both are rotated, so the columns not yet seen behave like a random direction: their product has mean 0 and
-    standard deviation |query rest| * |row rest| / sqrt(columns left). A candidate is abandoned as soon as its
-    partial product plus ERRORS of these lies below the query's k-th best product so far.
+    Both are rotated at random. Hypothesis of the test: the pair's cosine is at least c, the one that gives the query's
+    k-th best product so far. Seen from the query, the row is then c times it plus sqrt(1 - c^2) times a random
+    direction at right angles to it; so if the query has the share s of its squared length in the columns seen, their
+    product (of unit vectors) has mean c * s and standard deviation sqrt((1 - c^2) * s * (1 - s) / (dim - 1)). A
+    candidate is abandoned as soon as its product lies ERRORS of these below the mean. Nothing is taken to be
+    unlike the query in the columns not yet seen, so near copies pass.
     """
     dim = queries.shape[1]
     cuts = list(range(0, dim, COLUMNS)) + [dim]
-    rest_q = np.sqrt(np.maximum(np.stack([(queries[:, c:] ** 2).sum(axis=1) for c in cuts]), 0))
-    rest_r = np.sqrt(np.maximum(np.stack([(rows[:, c:] ** 2).sum(axis=1) for c in cuts]), 0))
+    size_q, size_r = np.linalg.norm(queries, axis=1), np.linalg.norm(rows, axis=1)
+    unit_q, unit_r = queries / size_q[:, None], rows / size_r[:, None]
+    share = np.stack([(unit_q[:, :c] ** 2).sum(axis=1) for c in cuts])
+    spread = ERRORS * np.sqrt(np.maximum(share * (1 - share), 0) / max(dim - 1, 1))
+    # Below this cosine a larger one would allow a smaller product; its limit then holds for all.
+    turn = -share / np.maximum(np.hypot(share, spread), 1e-300)
     bound = np.full(len(queries), -np.inf)
     best = np.full((len(queries), k), -np.inf)
     out_q, out_r = [], []
+
+    def live(n: int, q, r, sums: np.ndarray) -> np.ndarray:
+        c = np.clip(bound[q] / (size_q[q] * size_r[r]), turn[n][q], None)
+        least = c * share[n][q] - spread[n][q] * np.sqrt(np.maximum(1 - c * c, 0))
+        return (sums >= least - 1e-9) & (c <= 1 + 1e-9)
+
     for start in range(0, len(rows), step):
-        part = rows[start : start + step]
-        sums = queries[:, : cuts[1]] @ part[:, : cuts[1]].T
-        slack = ERRORS * rest_q[1][:, None] * rest_r[1][None, start : start + step] / np.sqrt(max(dim - cuts[1], 1))
-        q, r = np.nonzero(sums + slack >= bound[:, None])
-        sums = sums[q, r]
+        part = unit_r[start : start + step]
+        sums = unit_q[:, : cuts[1]] @ part[:, : cuts[1]].T
+        keep = live(1, np.arange(len(queries))[:, None], np.arange(start, start + len(part))[None], sums)
         for n in range(1, len(cuts) - 1):
             a, b = cuts[n], cuts[n + 1]
-            for m in range(0, len(q), 65_536):
-                at = slice(m, m + 65_536)
-                sums[at] += np.einsum("ij,ij->i", queries[q[at], a:b], part[r[at], a:b])
+            q, r = np.nonzero(keep)
+            if len(q) * 32 > keep.size:
+                sums += unit_q[:, a:b] @ part[:, a:b].T
+            else:
+                sums[q, r] += np.einsum("ij,ij->i", unit_q[q, a:b], part[r, a:b])
             if b < dim:
-                live = sums + ERRORS * rest_q[n + 1][q] * rest_r[n + 1][start + r] / np.sqrt(dim - b) >= bound[q]
-                q, r, sums = q[live], r[live], sums[live]
-        live = sums >= bound[q] - 1e-12 * rest_q[0][q] * rest_r[0][start + r]
-        q, r, sums = q[live], r[live], sums[live]
+                keep[q, r] = live(n + 1, q, start + r, sums[q, r])
+        q, r = np.nonzero(keep)
+        sums = sums[q, r] * size_q[q] * size_r[start + r]
+        near = sums >= bound[q] - 1e-9 * size_q[q] * size_r[start + r]
+        q, r, sums = q[near], r[near], sums[near]
         out_q.append(q)
         out_r.append(r + start)
         full = np.full((len(queries), len(part)), -np.inf)
@@ -58,16 +74,32 @@ def scan(queries: np.ndarray, rows: np.ndarray, k: int, step: int = 256) -> tupl
     return np.concatenate(out_q), np.concatenate(out_r)
 
 
-def probes_for(x: np.ndarray, centers: np.ndarray, k: int, goal: float) -> int:
-    """Lists to probe so that a sample's own neighbours are found with the recall wanted."""
-    q = x[:: max(1, len(x) // 256)]
-    k = min(k + 1, len(x))
-    top = np.argpartition(-(q @ x.T), k - 1, axis=1)[:, :k]
-    own = (x @ centers.T - 0.5 * (centers**2).sum(axis=1)).argmax(axis=1)
+def probes_for(rows: DataFrame, q: np.ndarray, ids: np.ndarray, centers: np.ndarray, k: int, goal: float) -> int:
+    """Lists to probe so that the true neighbours of some queries, found among all rows, are met with the recall wanted.
+
+    rows: id, vec, list. Every batch of rows gives the k best of its own for each query, a window their best.
+    """
+
+    def nearest(batches):
+        for batch in batches:
+            held = batch.column("id").to_numpy()
+            score = q @ matrix(batch.column("vec")).T
+            score[ids[:, None] == held[None]] = -np.inf
+            n = min(k, len(held))
+            at = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            lists = batch.column("list").to_numpy()[at]
+            got = [pa.array(np.repeat(np.arange(len(q)), n), pa.int32()), pa.array(lists.ravel(), pa.int32()), pa.array(np.take_along_axis(score, at, axis=1).ravel())]
+            yield pa.RecordBatch.from_arrays(got, ["q", "list", "score"])
+
+    got = rows.mapInArrow(nearest, "q int, list int, score double").where(F.col("score") > F.lit(float("-inf")))
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "list"))
+    found = got.withColumn("rank", rank).where(F.col("rank") <= k).select("q", "list").collect()
+    if not found:
+        return len(centers)
     order = np.argsort(-(q @ centers.T), axis=1)
     place = np.empty_like(order)
     np.put_along_axis(place, order, np.arange(len(centers))[None, :], axis=1)
-    need = np.take_along_axis(place, own[top], axis=1).ravel()
+    need = place[[r["q"] for r in found], [r["list"] for r in found]]
     return int(np.quantile(need, goal, method="higher")) + 1
 
 
@@ -93,7 +125,7 @@ def search(
     are all returned; empty input gives an empty result.
 
     Inverted lists: centres come from a bounded sample, every row is indexed; the number of lists probed is
-    set so that the sample's neighbours are found at `recall`. Hot lists are split into blocks, and a task
+    set so that the true neighbours of about TRIED queries, compared with all rows, are found at `recall`. Hot lists are split into blocks, and a task
     gets one block with up to QUERY_BLOCK of the queries that probe it, so neither side gathers in a task.
     Each block gives at most k rows per query, which a window then ranks.
     """
@@ -105,18 +137,17 @@ def search(
     d = d.where(F.col("dim") == dim)
     x = sample(d, sample_rows, total, SEED)
     centers = centroids(x, max(16, min(4096, total // rows_per_list)), SEED) if len(x) else np.zeros((1, dim // 8))
-    probes = probes_for(x, centers, k, recall) if len(x) else 1
-    index = spark.sparkContext.broadcast((centers, probes))
+    index = spark.sparkContext.broadcast(centers)
 
     def to_list(batches):
-        centers, _ = index.value
+        centers = index.value
         for batch in batches:
             v = matrix(batch.column(1))
             own = (v @ centers.T - 0.5 * (centers**2).sum(axis=1)).argmax(axis=1) if len(v) else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], ["id", "vec", "list"])
 
     def to_probes(batches):
-        centers, probes = index.value
+        centers = index.value
         for batch in batches:
             v = matrix(batch.column(1))
             n = min(probes, len(centers))
@@ -125,6 +156,11 @@ def search(
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(lists.ravel(), pa.int32())], ["id", "vec", "list"])
 
     rows = written(d.select("id", "vec").mapInArrow(to_list, "id long, vec binary, list int"), "ann-lists")
+    tried = sorted((r["id"], r["vec"]) for r in d.where("__q").orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(TRIED).select("id", "vec").collect())
+    probes = 1
+    if tried:
+        q = np.frombuffer(b"".join(bytes(v) for _, v in tried), np.float64).reshape(len(tried), -1)
+        probes = probes_for(rows, q, np.array([i for i, _ in tried]), centers, k, recall)
     asks = written(d.where("__q").select("id", "vec").mapInArrow(to_probes, "id long, vec binary, list int"), "ann-probes")
     rows_in = rows.groupBy("list").agg(F.ceil(F.count("*") / F.lit(LIST_BLOCK)).cast("int").alias("rb"))
     asks_in = asks.groupBy("list").agg(F.ceil(F.count("*") / F.lit(QUERY_BLOCK)).cast("int").alias("qb"))
