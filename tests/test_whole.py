@@ -48,3 +48,47 @@ def test_zone_and_line_queries_keep_some_tracks_and_drop_some(spark):
     all_tracks = fixtures.tracks(spark, SF).select("track").distinct().count()
     for name in ("tracks_zone_agg_cl", "tracks_lines_include", "tracks_lines_v2_force"):
         assert 0 < queries.queries()[name](spark, SF).select("track").distinct().count() < all_tracks, name
+
+
+def test_link_candidates_are_those_of_all_pairs_and_meet_by_place(spark):
+    from trajekt.operators import linking
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for k in range(300):
+        t, size = int(rng.integers(0, 60)), float(rng.choice([5, 40, 300]))
+        x, y, vx, vy = *rng.uniform(-400, 400, 2).tolist(), *(rng.normal(size=2) * rng.choice([0, 3, 50])).tolist()
+        rows += [(t + n, k, x + n * vx, y + n * vy, size, size, int(k % 2)) for n in range(3)]
+    d = linking.descriptors(spark.createDataFrame(rows, "frame int, track int, x double, y double, w double, h double, cls int"))
+    got = linking.candidates(d)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "cell_x" in next(line for line in plan.splitlines() if "Join" in line)
+    have = d.collect()
+    want = set()
+    for a in have:
+        for b in have:
+            dt = b.t_start - a.t_end
+            ratios = (b.start_w / a.end_w, b.start_h / a.end_h)
+            if a.cls != b.cls or a.track == b.track or not 1 <= dt <= 20 or not all(0.5 <= r <= 2 for r in ratios):
+                continue
+            dx, dy = abs(a.end_cx + a.vx * dt - b.start_cx), abs(a.end_cy + a.vy * dt - b.start_cy)
+            both = max((a.end_w + b.start_w) / 2 - dx, 0) * max((a.end_h + b.start_h) / 2 - dy, 0)
+            if np.hypot(dx, dy) < 2.5 * a.area_end**0.5 * (1 + 0.03 * dt) and both / (a.end_w * a.end_h + b.start_w * b.start_h - both) >= 0.05:
+                want.add((a.track, b.track))
+    assert len(want) > 50 and sorted((r.a_track, r.b_track) for r in got.collect()) == sorted(want)
+
+
+def test_links_of_many_groups_at_one_time_are_solved_apart(spark):
+    from trajekt.operators import linking
+
+    rng = np.random.default_rng(6)
+    edges = [(g * 10 + i, g * 10 + 5 + j, 0, 5, float(rng.random())) for g in range(40) for i in range(4) for j in range(3) if rng.random() < 0.7]
+    df = spark.createDataFrame(edges, "a_track int, b_track int, a_end int, b_start int, cost double")
+    got = linking.match(df)
+    assert "hashpartitioning(0" not in got._jdf.queryExecution().executedPlan().toString() and "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    ids = sorted({e[0] for e in edges}), sorted({e[1] for e in edges})
+    cost = np.full((len(ids[0]), len(ids[1])), np.inf)
+    for a, b, _, _, c in edges:
+        cost[ids[0].index(a), ids[1].index(b)] = c
+    want = {(ids[0][i], ids[1][j]) for i, j in linking.assign(cost)}
+    assert {(r.a_track, r.b_track) for r in got.collect()} == want

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import iou
+from .shared import components, whole_groups, written
 
 
 def descriptors(df: DataFrame, *, vel_frames: int = 5, by: Sequence[str] = (), loose_equal: bool = False) -> DataFrame:
@@ -56,16 +57,33 @@ def candidates(
 ) -> DataFrame:
     """Pairs (a_track ends, b_track starts) that pass all gates, with dt, dist, iou and cost.
 
-    Class and a time bucket of max_gap frames are equi keys (an end looks into the two buckets its window can
-    touch), so the join is hashed and never compares all pairs of a video.
+    Class, a time bucket of max_gap frames and a cell of the plane are equi keys. An end looks into the two buckets its
+    window can touch and into the cells that its path over max_gap frames, widened by the distance gate, can
+    touch: cells are powers of two at least as wide as that, so these are four at most. A start takes the
+    cell of its centre at each such width that occurs.
     """
     gap = max(1, int(max_gap))
+    d = written(d, "link-descriptors")
     ends = d.select(*by, "cls", F.col("track").alias("a_track"), F.col("t_end"), "end_cx", "end_cy", "end_w", "end_h", "area_end", "vx", "vy")
     first, last = F.floor((F.col("t_end") + 1) / F.lit(gap)), F.floor((F.col("t_end") + gap) / F.lit(gap))
-    ends = ends.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last))))
+    reach = F.lit(float(dist_mult)) * F.sqrt("area_end") * (F.lit(1.0) + F.lit(0.03) * F.lit(max_gap)) + F.lit(1.0)
+    low = lambda c, v: F.col(c) + F.least(F.col(v), F.col(v) * max_gap) - F.col("reach")
+    high = lambda c, v: F.col(c) + F.greatest(F.col(v), F.col(v) * max_gap) + F.col("reach")
+    ends = ends.withColumn("reach", reach).withColumn("wide", F.greatest(high("end_cx", "vx") - low("end_cx", "vx"), high("end_cy", "vy") - low("end_cy", "vy")))
+    # A path without a finite width (or beyond what whole cells can hold) looks everywhere: one cell holds all.
+    level = F.when((F.col("wide") > 0) & (F.col("wide") < 2.0**40), F.greatest(F.ceil(F.log2("wide")).cast("int"), F.lit(0)) + 1).otherwise(F.lit(1000))
+    ends = ends.withColumn("level", level)
+    levels = [r["level"] for r in ends.select("level").distinct().collect()]
+    cell = lambda c: F.when(F.col("level") < 1000, F.floor(c / F.pow(F.lit(2.0), F.col("level")))).otherwise(F.lit(0))
+    spans = {}
+    for axis in "xy":
+        at = [cell(side(f"end_c{axis}", f"v{axis}")) for side in (low, high)]
+        spans[axis] = F.explode(F.array_distinct(F.array(*at)))
+    ends = ends.withColumn("bucket", F.explode(F.array_distinct(F.array(first, last)))).withColumn("cell_x", spans["x"]).withColumn("cell_y", spans["y"]).drop("reach", "wide")
     starts = d.select(*by, "cls", F.col("track").alias("b_track"), F.col("t_start").alias("b_start"), *[F.col(f"start_{c}") for c in ("x", "y", "w", "h", "cx", "cy")])
-    starts = starts.withColumn("bucket", F.floor(F.col("b_start") / F.lit(gap)))
-    p = ends.join(starts, [*by, "cls", "bucket"]).withColumn("dt", F.col("b_start") - F.col("t_end"))
+    starts = starts.withColumn("bucket", F.floor(F.col("b_start") / F.lit(gap))).withColumn("level", F.explode(F.lit(levels).cast("array<int>") if levels else F.array(F.lit(0))))
+    starts = starts.withColumn("cell_x", cell(F.col("start_cx"))).withColumn("cell_y", cell(F.col("start_cy")))
+    p = ends.join(starts, [*by, "cls", "bucket", "level", "cell_x", "cell_y"]).withColumn("dt", F.col("b_start") - F.col("t_end"))
     p = p.where(F.col("dt").between(1, max_gap) & (F.col("a_track") != F.col("b_track")))
     size = lambda c: F.greatest(F.col(c), F.lit(1.0))
     p = p.withColumn("rw", size("start_w") / size("end_w")).withColumn("rh", size("start_h") / size("end_h"))
@@ -125,43 +143,37 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 def match(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One-to-one links (a_track, b_track, cost) of candidates: most links, then least total cost.
 
-    Edges of one connected group of candidates are solved together, groups apart. Candidates span at most
-    max_gap frames, so a group is an island in time and space: islands are found with windows over time
-    within a video and split by components inside the grouped map.
+    Edges of one connected group of candidates are solved together, groups apart. Groups are found by
+    components of the edges, an end and a start being different nodes; a link whose end and start have no other is taken
+    as it is. Tasks solve many groups, one after another.
     """
     keys = list(by)
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("a_end", "b_start", "a_track", "b_track")
-    # An edge covers the frames a_end to b_start; where none of the edges before reaches it, a new island begins.
-    # Ends and starts of one track lie at different ends of it, so links between islands can't compete.
-    reach = F.max("b_start").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    e = edges.withColumn("new", (F.col("a_end") > F.coalesce(reach, F.lit(-(2**31)))).cast("int"))
-    e = e.withColumn("island", F.sum("new").over(order))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, i = np.unique(pdf["a_track"], return_inverse=True)
-        starts, j = np.unique(pdf["b_track"], return_inverse=True)
-        label = np.arange(len(ends) + len(starts))
-        while True:
-            least = np.minimum(label[i], label[len(ends) + j])
-            new = label.copy()
-            np.minimum.at(new, i, least)
-            np.minimum.at(new, len(ends) + j, least)
-            if (new == label).all():
-                break
-            label = new
-        keep = []
-        for part in np.unique(label[i]):
-            rows = np.flatnonzero(label[i] == part)
-            own_i, a = np.unique(i[rows], return_inverse=True)
-            own_j, b = np.unique(j[rows], return_inverse=True)
-            cost = np.full((len(own_i), len(own_j)), np.inf)
-            cost[a, b] = pdf["cost"].to_numpy()[rows]
-            found = set(assign(cost))
-            keep += [r for r, x, y in zip(rows, a, b) if (x, y) in found]
-        return pdf.iloc[sorted(keep)][[*keys, "a_track", "b_track", "cost"]]
-
+    e = written(edges.select(*keys, "a_track", "b_track", "cost"), "link-edges")
+    alone = lambda c: F.count(F.lit(1)).over(Window.partitionBy(*keys, c))
+    e = written(e.withColumn("na", alone("a_track")).withColumn("nb", alone("b_track")), "link-counted")
+    rest = e.where("na > 1 or nb > 1").select(*keys, "a_track", "b_track", "cost")
+    # A node is the hash-free text of its side, keys and track.
+    node = lambda side, c: F.to_json(F.struct(F.lit(side).alias("s"), *[F.col(k).alias(f"k{n}") for n, k in enumerate(keys)], F.col(c).alias("t")), {"ignoreNullFields": "false"})
+    named = written(rest.withColumn("a_node", node("a", "a_track")).withColumn("b_node", node("b", "b_track")), "link-nodes")
+    roots = components(named.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")), "link-groups")
+    grouped = named.join(roots, named["a_node"] == roots["node"]).select(*keys, "a_track", "b_track", "cost", F.col("root").alias("group"))
     kinds = ", ".join(f"`{c}` {edges.schema[c].dataType.simpleString()}" for c in [*keys, "a_track", "b_track"])
-    return e.groupBy(*keys, "island").applyInPandas(solve, f"{kinds}, cost double")
+
+    def solve(batches):
+        for table, starts in whole_groups(batches, ["group"]):
+            a, b, cost = (table[c].to_numpy() for c in ("a_track", "b_track", "cost"))
+            keep: list[int] = []
+            for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                own_i, i = np.unique(a[lo:hi], return_inverse=True)
+                own_j, j = np.unique(b[lo:hi], return_inverse=True)
+                grid = np.full((len(own_i), len(own_j)), np.inf)
+                grid[i, j] = cost[lo:hi]
+                found = set(assign(grid))
+                keep += [lo + n for n, pair in enumerate(zip(i.tolist(), j.tolist())) if pair in found]
+            yield from table.take(pa.array(keep, pa.int64())).drop_columns(["group"]).to_batches()
+
+    solved = grouped.repartition("group").sortWithinPartitions("group", "a_track", "b_track").mapInArrow(solve, f"{kinds}, cost double")
+    return e.where("na = 1 and nb = 1").select(*keys, "a_track", "b_track", F.col("cost").cast("double").alias("cost")).union(solved)
 
 
 def chains(links: DataFrame, by: Sequence[str] = (), rounds: int = 40) -> DataFrame:
@@ -169,8 +181,6 @@ def chains(links: DataFrame, by: Sequence[str] = (), rounds: int = 40) -> DataFr
 
     Each track has at most one predecessor, and starts get later, so the head is the earliest.
     """
-    from .shared import written
-
     keys = list(by)
     p = written(links.select(*keys, F.col("b_track").alias("track"), F.col("a_track").alias("head")), "chains")
     for _ in range(rounds):

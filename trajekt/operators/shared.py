@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -30,6 +31,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def components(links: DataFrame, name: str) -> DataFrame:
+    """Connected components of links (a, b) of one kind of value: rows (node, root) for every node, the root being the
+    least node reachable. Large-star and small-star steps in turn, each round written, until all hang on their root."""
+    e = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    for _ in range(60):
+        above = e.select(F.col("b").alias("a")).distinct().join(e.select("a").distinct(), "a", "left_semi")
+        if above.union(e.groupBy("a").count().where("count > 1").select("a")).isEmpty():
+            own = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+            return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(own)
+        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), name)
+    raise RuntimeError("components did not settle")
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """From rows sorted by `keys`: tables of whole groups, with the groups' start rows and the end."""
     rest: list[pa.RecordBatch] = []
