@@ -92,3 +92,31 @@ def test_links_of_many_groups_at_one_time_are_solved_apart(spark):
         cost[ids[0].index(a), ids[1].index(b)] = c
     want = {(ids[0][i], ids[1][j]) for i, j in linking.assign(cost)}
     assert {(r.a_track, r.b_track) for r in got.collect()} == want
+
+
+def test_reclass_by_cells_is_that_of_all_pairs(spark):
+    from trajekt.operators import reclass
+
+    rng = np.random.default_rng(5)
+    box = lambda most: [*rng.uniform(-300, 300, 2).round(1).tolist(), *(rng.uniform(0, most, 2).round(1)).tolist()]
+    rows = [(int(rng.integers(0, 6)), k % 20, *box([60, 400][k % 7 == 0])) for k in range(400)] + [(1, 3, -500.0, -500.0, 2000.0, 2000.0)]
+    dets = [(int(rng.integers(0, 5)), *box([3, 50, 50, 700][k % 4]), int(rng.integers(0, 4))) for k in range(600)] + [(2, 0.0, 0.0, 0.0, 5.0, 1)]
+    t = spark.createDataFrame(rows, "frame int, track int, x double, y double, w double, h double")
+    d = spark.createDataFrame(dets, "frame int, x double, y double, w double, h double, class int")
+    got = reclass.match_detections(t, d, 0.3, (1, 3), num_frames=15)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell_x" in plan
+    want = {}
+    for track in range(20):
+        top = sorted({r for r in rows if r[1] == track}, key=lambda r: (-r[4] * r[5], r[0], *r[2:]))[:15]
+        for c in (1, 3):
+            best = []
+            for f, _, x, y, w, h in top:
+                shares = [max(min(x + w, u + p) - max(x, u), 0) * max(min(y + h, v + q) - max(y, v), 0) / (p * q) if p * q > 0 else 0.0 for g, u, v, p, q, k in dets if g == f and k == c]
+                best += [max(shares)] if shares else []
+            if best:
+                hit = [b for b in best if b >= 0.3]
+                want[track, c] = sum(hit) / len(hit) if hit else 0.0
+    have = {(r.track, r["class"]): r.avg_score for r in got.collect()}
+    assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
+    assert any(want.values())

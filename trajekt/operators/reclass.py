@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import overlap
+from .shared import written
 
 
 def top_frames(tracks: DataFrame, num_frames: int = 25, by: Sequence[str] = ()) -> DataFrame:
@@ -16,16 +17,46 @@ def top_frames(tracks: DataFrame, num_frames: int = 25, by: Sequence[str] = ())
     return tracks.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= num_frames).drop("__rank")
 
 
+def best_shares(boxes: DataFrame, dets: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """For each of the distinct boxes (*by, frame, x, y, w, h) and each class the largest share of a same-frame detection
+    (class, d_x, d_y, d_w, d_h) that it covers, as best; boxes that cover none have no row.
+
+    Boxes and detections meet in cells of the plane. A width (a power of two) is the level of what is no larger. At the
+    higher level of the two a detection lies in the cell of its corner, and a box looks into the cells, nine at
+    most, where corners of detections that reach it lie. Sizes beyond 2^40 have one level with one cell.
+    """
+    size = lambda w, h: F.greatest(F.col(w), F.col(h), F.lit(1.0))
+    level = lambda w, h: F.when(size(w, h) < 2.0**40, F.ceil(F.log2(size(w, h))).cast("int")).otherwise(F.lit(1000))
+    boxes = boxes.where("w > 0 and h > 0").withColumn("level", level("w", "h"))
+    dets = dets.where("d_w > 0 and d_h > 0").distinct().withColumn("d_level", level("d_w", "d_h"))
+    at = lambda df, c: sorted(r[0] for r in df.select(c).distinct().collect())
+    of_boxes, of_dets = at(boxes, "level"), at(dets, "d_level")
+
+    def levels(own: str, others: list[int]):
+        higher = F.filter(F.lit(others).cast("array<int>") if others else F.array().cast("array<int>"), lambda v: v > F.col(own))
+        return F.explode(F.concat(F.array(own), higher))
+
+    step = F.pow(F.lit(2.0), F.col("meet"))
+    cell = lambda c: F.when(F.col("meet") < 1000, F.floor(c / step)).otherwise(F.lit(0))
+    span = lambda c, w: F.explode(F.sequence(cell(F.col(c) - step), cell(F.col(c) + F.col(w))))
+    held = dets.withColumn("meet", levels("d_level", of_boxes)).withColumn("cell_x", cell(F.col("d_x"))).withColumn("cell_y", cell(F.col("d_y")))
+    asked = boxes.withColumn("meet", levels("level", of_dets)).withColumn("cell_x", span("x", "w")).withColumn("cell_y", span("y", "h"))
+    p = asked.join(held, [*by, "frame", "meet", "cell_x", "cell_y"]).where(F.col("meet") == F.greatest("level", "d_level"))
+    p = p.withColumn("over", overlap([F.col(c) for c in "xywh"], [F.col(f"d_{c}") for c in "xywh"])).where("over > 0")
+    return p.groupBy(*by, "frame", "class", *"xywh").agg(F.max(F.col("over") / F.greatest(F.col("d_w") * F.col("d_h"), F.lit(1e-300))).alias("best"))
+
+
 def match_detections(tracks: DataFrame, dets: DataFrame, threshold: float = 0.75, classes: Sequence[int] = (1, 36), by: Sequence[str] = (), num_frames: int = 25) -> DataFrame:
     """Per track and class: mean over its top rows of the largest share of a same-frame detection that the row
     covers, of those at least threshold (avg_score, 0 without any), and hit: avg_score >= threshold."""
-    rows = top_frames(tracks, num_frames, by).withColumn("row", F.xxhash64("frame", *"xywh"))
-    keep = dets.where(F.col("class").isin(list(classes))).select(*by, "frame", "class", *[F.col(c).alias(f"d_{c}") for c in "xywh"])
-    p = rows.select(*by, "track", "frame", "row", *[F.col(c).cast("double").alias(c) for c in "xywh"]).join(keep, [*by, "frame"])
-    area = F.col("d_w") * F.col("d_h")
-    share = F.when(area > 0, overlap([F.col(c) for c in "xywh"], [F.col(f"d_{c}") for c in "xywh"]) / F.greatest(area, F.lit(1e-300))).otherwise(F.lit(0.0))
-    best = p.groupBy(*by, "track", "class", "frame", "row").agg(F.max(share).alias("best"))
-    out = best.groupBy(*by, "track", "class").agg(F.coalesce(F.avg(F.when(F.col("best") >= threshold, F.col("best"))), F.lit(0.0)).alias("avg_score"))
+    box = list("xywh")
+    rows = top_frames(tracks, num_frames, by).select(*by, "track", "frame", *[F.col(c).cast("double").alias(c) for c in box]).distinct()
+    rows = written(rows, "reclass-rows")
+    keep = dets.where(F.col("class").isin(list(classes))).select(*by, "frame", "class", *[F.col(c).alias(f"d_{c}") for c in box])
+    there = keep.select(*by, "frame", "class").distinct()
+    best = best_shares(rows.select(*by, "frame", *box).distinct(), keep, by)
+    p = rows.join(there, [*by, "frame"]).join(best, [*by, "frame", "class", *box], "left").withColumn("best", F.coalesce("best", F.lit(0.0)))
+    out = p.groupBy(*by, "track", "class").agg(F.coalesce(F.avg(F.when(F.col("best") >= threshold, F.col("best"))), F.lit(0.0)).alias("avg_score"))
     return out.withColumn("hit", F.col("avg_score") >= threshold)
 
 
