@@ -120,3 +120,11 @@ def test_reclass_by_cells_is_that_of_all_pairs(spark):
     have = {(r.track, r["class"]): r.avg_score for r in got.collect()}
     assert have.keys() == want.keys() and all(abs(have[k] - want[k]) < 1e-9 for k in want)
     assert any(want.values())
+
+
+def test_assignment_without_rivals_takes_all():
+    from trajekt.operators.linking import assign
+
+    cost = np.full((3, 4), np.inf)
+    cost[0, 2], cost[2, 0] = 0.5, 0.25
+    assert sorted(assign(cost)) == [(0, 2), (2, 0)]

@@ -108,6 +108,8 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     finite = np.isfinite(cost)
     if not finite.any():
         return []
+    if (finite.sum(axis=0) <= 1).all() and (finite.sum(axis=1) <= 1).all():
+        return list(zip(*(at.tolist() for at in np.nonzero(finite))))
     big = float(np.abs(cost[finite]).sum()) * 2 + 1
     c = np.where(finite, cost, big)
     turned = c.shape[0] > c.shape[1]

@@ -264,13 +264,15 @@ def track(dets: DataFrame, config: MOTBaseConfig | None = None, by: Sequence[str
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         tracker = ByClass(lambda: ByteTracker(**options)) if config.per_class else ByteTracker(**options)
         pdf = pdf.sort_values(["frame", "conf", "x", "y", "w", "h"], ascending=[True, False, True, True, True, True])
-        groups = {f: g for f, g in pdf.groupby("frame")}
+        frames, dets = pdf["frame"].to_numpy(), pdf[["x", "y", "w", "h", "conf", "class"]].to_numpy(float)
+        at = np.flatnonzero(np.append(True, frames[1:] != frames[:-1]))
+        groups = {f: dets[a:b] for f, a, b in zip(frames[at].tolist(), at.tolist(), [*at[1:].tolist(), len(dets)])}
         first = min(groups) if start_frame is None else start_frame
         last = max(groups) if end_frame is None else end_frame
+        none = np.zeros((0, 6))
         out: list[tuple] = []
         for frame in range(int(first), int(last) + 1):
-            g = groups.get(frame)
-            out += rows_of(frame, tracker.step(g[["x", "y", "w", "h", "conf", "class"]].to_numpy() if g is not None else np.zeros((0, 6))), output_score_cls)
+            out += rows_of(frame, tracker.step(groups.get(frame, none)), output_score_cls)
         got = pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
         return got.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, *got.columns]]
 
