@@ -122,6 +122,43 @@ def test_reclass_by_cells_is_that_of_all_pairs(spark):
     assert any(want.values())
 
 
+def test_suppression_looks_at_boxes_near_by_only(monkeypatch):
+    import pandas as pd
+
+    from trajekt.operators import boxes
+
+    class Groups:
+        schema = None
+        groupBy = lambda self, *by: self
+        applyInPandas = lambda self, f, schema: f
+
+    seen = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def minimum(self, a, b):
+            seen.append(len(b))
+            return np.minimum(a, b)
+
+    monkeypatch.setattr(boxes, "np", Counting())
+    rng = np.random.default_rng(2)
+    n = 600
+    d = pd.DataFrame({c: rng.uniform(0, m, n) for c, m in (("x", 3000), ("y", 100), ("w", 60), ("h", 60), ("conf", 1))})
+    kept = boxes.nms(Groups(), 0.3)(d)
+    want = []
+    for r in d.sort_values("conf", ascending=False).itertuples():
+        for k in want:
+            both = max(min(r.x + r.w, k.x + k.w) - max(r.x, k.x), 0) * max(min(r.y + r.h, k.y + k.h) - max(r.y, k.y), 0)
+            if both / (r.w * r.h + k.w * k.h - both) > 0.3:
+                break
+        else:
+            want.append(r)
+    assert kept.index.tolist() == [r.Index for r in want] and len(want) < n
+    assert sum(seen) < 0.1 * n * len(seen)
+
+
 def test_assignment_without_rivals_takes_all():
     from trajekt.operators.linking import assign
 

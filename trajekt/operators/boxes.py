@@ -39,14 +39,23 @@ def nms(df: DataFrame, threshold: float = 0.7, by: Sequence[str] = ("frame", "cl
         pdf = pdf.sort_values([score, *ties], ascending=[False, *[True] * len(ties)], kind="stable")
         x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
         live = np.ones(len(pdf), bool)
+        # In the order of the left edge, what can overlap a box is a slice; without an overlap only a negative threshold drops.
+        left = np.argsort(x, kind="stable")
+        sx, sy, sw, sh = x[left], y[left], w[left], h[left]
+        lo, hi = np.zeros(len(pdf), int), np.full(len(pdf), len(pdf))
+        if threshold >= 0 and np.isfinite([x, w]).all():
+            # A margin for rounded sums of edges.
+            slack = 1e-9 * (np.abs(x) + np.abs(w) + np.abs(w).max(initial=0) + 1)
+            lo = np.searchsorted(sx, x - w.max(initial=0) - slack)
+            hi = np.searchsorted(sx, x + w + slack, side="right")
         for k in range(len(pdf)):
             if live[k]:
-                across = np.minimum(x[k] + w[k], x + w) - np.maximum(x[k], x)
-                down = np.minimum(y[k] + h[k], y + h) - np.maximum(y[k], y)
+                at = slice(lo[k], hi[k])
+                across = np.minimum(x[k] + w[k], sx[at] + sw[at]) - np.maximum(x[k], sx[at])
+                down = np.minimum(y[k] + h[k], sy[at] + sh[at]) - np.maximum(y[k], sy[at])
                 both = np.maximum(across, 0) * np.maximum(down, 0)
-                over = both / np.maximum(w[k] * h[k] + w * h - both, 1e-6) > threshold
-                over[: k + 1] = False
-                live &= ~over
+                over = left[at][both / np.maximum(w[k] * h[k] + sw[at] * sh[at] - both, 1e-6) > threshold]
+                live[over[over > k]] = False
         return pdf[live]
 
     return df.groupBy(*by).applyInPandas(keep, df.schema)
