@@ -122,6 +122,20 @@ def test_reclass_by_cells_is_that_of_all_pairs(spark):
     assert any(want.values())
 
 
+@pytest.mark.parametrize("method", ["linear", "nearest"])
+def test_gaps_are_filled_as_targets_are_and_sort_known_rows_only(spark, method):
+    from trajekt.operators import boxes, sequence
+    from trajekt.plans import queries
+
+    rng = np.random.default_rng(9)
+    frames = [(t, int(f)) for t in range(6) for f in sorted(rng.choice(120, 14, replace=False))]
+    df = spark.createDataFrame([(t, f, *rng.uniform(-90, 90, 4).round(2).tolist()) for t, f in frames], "track int, frame int, x double, y double, w double, h double")
+    got = sorted(map(tuple, boxes.interpolate_gaps(df, 9, method).collect()))
+    assert got and got == sorted(map(tuple, boxes.interpolate_boxes(df, sequence.fill_frames(df, 9), method).collect()))
+    plan = queries.queries()[f"bbox_interp_{method}"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.index("Generate explode") < plan.index("Window")
+
+
 def test_suppression_looks_at_boxes_near_by_only(monkeypatch):
     import pandas as pd
 

@@ -162,5 +162,26 @@ def interpolate_boxes(boxes: DataFrame, targets: DataFrame, method: str = "cubic
     return rows.select(*keys, "frame", *[F.when(outside, wrong).otherwise(value(c)).cast("int").alias(c) for c in "xywh"])
 
 
+def interpolate_gaps(boxes: DataFrame, max_gap: int = 30, method: str = "linear", by: Sequence[str] = ("track",)) -> DataFrame:
+    """Boxes of each track, cut toward zero, at the frames missing from its gaps of at most max_gap frames.
+
+    The rows of interpolate_boxes over fill_frames; but each known row looks at the next and only then unfolds, so what is
+    sorted are the known rows alone. boxes: *by, frame, x, y, w, h, frames distinct within a track. linear or nearest.
+    """
+    if method not in ("linear", "nearest"):
+        raise ValueError("method is linear or nearest")
+    keys = list(by)
+    after = F.lead(F.struct("frame", *"xywh")).over(Window.partitionBy(*keys).orderBy("frame"))
+    d = boxes.select(*keys, F.struct("frame", *"xywh").alias("a"), after.alias("b"))
+    d = d.where((F.col("b.frame") - F.col("a.frame")).between(2, max_gap + 1))
+    d = d.select(*keys, "a", "b", F.explode(F.sequence(F.col("a.frame") + 1, F.col("b.frame") - 1)).alias("frame"))
+    at, a, b = F.col("frame"), F.col("a.frame"), F.col("b.frame")
+    if method == "nearest":  # halfway goes to the earlier frame
+        value = lambda c: F.when(at - a <= b - at, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}"))
+    else:
+        value = lambda c: F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * ((at - a) / (b - a))
+    return d.select(*keys, "frame", *[value(c).cast("int").alias(c) for c in "xywh"])
+
+
 def box_type(boxes: DataFrame) -> str:
     return "struct<" + ",".join(f"{c}:{boxes.schema[c].dataType.simpleString()}" for c in ["frame", *"xywh"]) + ">"

@@ -197,6 +197,8 @@ ENDS = """f as (select * from trk qualify row_number() over (partition by track,
 def _interp(method: str) -> Query:
     def run(s, d):
         known = sequence.first_per_frame(X.tracks(s, d), ties=["event_id"]).select("track", "frame", "x", "y", "w", "h")
+        if method != "cubic":
+            return boxes.interpolate_gaps(known, 30, method)
         return boxes.interpolate_boxes(known, sequence.fill_frames(X.tracks(s, d), 30), method)
 
     return run
