@@ -179,3 +179,53 @@ def test_assignment_without_rivals_takes_all():
     cost = np.full((3, 4), np.inf)
     cost[0, 2], cost[2, 0] = 0.5, 0.25
     assert sorted(assign(cost)) == [(0, 2), (2, 0)]
+
+
+def windows_of(df):
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+
+
+def test_rows_are_numbered_by_ranges(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from trajekt.operators import shared
+
+    d = spark.range(5000).selectExpr("case when id % 7 = 0 then null when id % 3 < 2 then 'a' else 'b' end k", "(id * 7919) % 5003 - 100 t", "id v").repartition(5)
+    for keys in (["k"], ["k", "k"], []):
+        want = d.withColumn("__row", F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("t")))
+        got = shared.numbered(d, keys, ["t"], "test", rows=300)
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert not shared.numbered(d.where("v < 0"), ["k"], ["t"], "test", rows=300).count()
+
+
+def test_signal_intervals_and_sums_are_those_of_whole_signals_in_chunks_of_any_size(spark, monkeypatch):
+    from trajekt.operators import sequence, shared
+
+    rng, rows, runs, sums = np.random.default_rng(9), [], [], []
+    for k in range(6):
+        # Long runs, over many chunks, and short ones; frames with gaps.
+        det = (rng.random(400) < np.repeat(rng.choice([0.2, 0.7, 1.0], 20), 20)).astype(int).tolist()
+        frames = np.cumsum(rng.integers(1, 4, 400)).tolist()
+        rows += [(k if k else None, f, v) for f, v in zip(frames, det)]
+        counts = [sum(det[i : i + 8]) for i in range(392)]
+        sums += [(k if k else None, f, v, c) for f, v, c in zip(frames, det, counts)]
+        i = 0
+        while i < 392:
+            e = i
+            while e < 392 and counts[e] >= 4:
+                e += 1
+            if e > i:
+                best = max(range(i, e), key=lambda j: (counts[j] if j > i else -1, -j))
+                b, f = frames[best], frames[best + 8]
+                runs += [(k if k else None, 1, b, f), (k if k else None, 2, f + 1, f + 6)]
+            i = e + 1
+    df = spark.createDataFrame(rows, "signal int, frame int, detection int").repartition(3)
+    for task, chunk in ((10**6, 10**6), (150, 10), (700, 64)):
+        monkeypatch.setattr(shared, "TASK_ROWS", task)
+        monkeypatch.setattr(shared, "CHUNK_ROWS", chunk)
+        got = sequence.walk_intervals(df, 8, 0.5, 2, 3)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, runs))
+        got = sequence.sliding_sum(df, "detection", 8, ["signal"])
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, sums))
+    # No window needs a whole signal.
+    assert windows_of(got) and all("__chunk" in line for line in windows_of(got))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import chunked, numbered, written
+
 
 def cluster_by_gap(df: DataFrame, value: str, gap: float, by: Sequence[str] = ()) -> DataFrame:
     """Number (cluster, from 0) the runs of sorted values whose steps are at most gap; repeated values stay.
@@ -62,11 +64,10 @@ def fill_attributes(df: DataFrame, by: Sequence[str] = ("track",), cls: str = "c
 
 def sliding_sum(df: DataFrame, value: str, window: int, by: Sequence[str] = (), order: str = "frame") -> DataFrame:
     """Sum of `window` rows from each row on (count), for all starts but those within `window` of the end."""
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    whole = Window.partitionBy(*(by or [F.lit(0)]))
-    d = df.withColumn("__row", F.row_number().over(w)).withColumn("__rows", F.count(F.lit(1)).over(whole))
-    d = d.withColumn("count", F.sum(value).over(w.rowsBetween(0, window - 1)).cast("long"))
-    return d.where(F.col("__row") <= F.col("__rows") - window).drop("__row", "__rows")
+    d, _ = chunked(numbered(df, by, [order], "sliding"), by, 0, window)
+    w = Window.partitionBy(*by, "__chunk").orderBy("__row")
+    d = d.withColumn("count", F.sum(value).over(w.rowsBetween(0, window - 1)).cast("long")).withColumn("__ahead", F.lead("__row", window).over(w))
+    return d.where("__own and __ahead is not null").drop("__row", "__chunk", "__own", "__ahead")
 
 
 def walk_intervals(df: DataFrame, window: int, factor: float = 0.75, fps: float = 30, countdown: float = 10, by: Sequence[str] = ("signal",)) -> DataFrame:
@@ -77,15 +78,25 @@ def walk_intervals(df: DataFrame, window: int, factor: float = 0.75, fps: float
     at its first start; the countdown follows it.
     """
     keys = list(by)
-    w = Window.partitionBy(*keys).orderBy("frame")
-    d = df.withColumn("end", F.lead("frame", window).over(w)).withColumn("row", F.row_number().over(w))
-    d = sliding_sum(d, "detection", window, keys)
-    hits = d.where(F.col("count") >= F.lit(factor * window))
-    hits = hits.withColumn("run", F.col("row") - F.row_number().over(w))
-    place = F.row_number().over(Window.partitionBy(*keys, "run").orderBy("row"))
-    hits = hits.withColumn("rank", F.when((place > 1) & (F.col("count") > 0), F.col("count")).otherwise(F.lit(-1)))
+    d, size = chunked(numbered(df, keys, ["frame"], "signal_rows"), keys, 1, window)
+    w = Window.partitionBy(*keys, "__chunk").orderBy("__row")
+    d = d.withColumn("count", F.sum("detection").over(w.rowsBetween(0, window - 1)).cast("long"))
+    d = d.withColumn("end", F.lead("frame", window).over(w)).withColumn("ahead", F.lead("__row", window).over(w))
+    d = d.withColumn("hit", F.col("ahead").isNotNull() & F.coalesce(F.col("count") >= F.lit(factor * window), F.lit(False)))
+    hits = d.withColumn("start", ~F.lag("hit", 1, False).over(w)).where("__own and hit")
+    # Runs of a chunk count from 1; 0 goes on from the chunk before.
+    hits = hits.withColumn("run", F.sum(F.col("start").cast("int")).over(w))
+    hits = hits.withColumn("rank", F.when(~F.col("start") & (F.col("count") > 0), F.col("count")).otherwise(F.lit(-1)))
     # The first start ranks -1 as later starts without a count do, and comes before them.
-    best = hits.groupBy(*keys, "run").agg(F.max_by(F.struct("frame", "end"), F.struct("rank", -F.col("row"))).alias("s"))
+    place = F.struct("rank", -F.col("__row"))
+    pieces = hits.groupBy(*keys, "__chunk", "run").agg(F.max_by(F.struct("frame", "end"), place).alias("s"), F.max(place).alias("place"), (F.max("__row") % size == 0).alias("cut"))
+    pieces = written(pieces, "signal_runs")
+    # Only the first and the last run of a chunk may be pieces of a longer one.
+    edge = F.col("cut") | (F.col("run") == 0)
+    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__chunk", "run")
+    joined = pieces.where(edge).withColumn("run", F.sum((F.col("run") > 0).cast("int")).over(order))
+    joined = joined.groupBy(*keys, "run").agg(F.max_by("s", "place").alias("s"))
+    best = pieces.where(~edge).select(*keys, "s").unionByName(joined.select(*keys, "s"))
     frames = int(countdown * fps)
     both = F.array(
         F.struct(F.lit(1).alias("status"), F.col("s.frame").alias("beg_frame"), F.col("s.end").alias("end_frame")),

@@ -60,10 +60,10 @@ def tracklets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0/1 detections of two signals, a row per event: consecutive frames within a signal."""
-    from pyspark.sql import Window
+    from ..operators.shared import numbered
 
     e = table(spark, sf_dir, "events").selectExpr("event_id", "cast(event_id % 2 as int) signal", "case when (event_id div 2) % 40 < 25 then 1 else 0 end detection")
-    return e.withColumn("frame", (F.row_number().over(Window.partitionBy("signal").orderBy("event_id")) - 1).cast("int")).select("frame", "signal", "detection")
+    return numbered(e, ["signal"], ["event_id"], "signals").select((F.col("__row") - 1).cast("int").alias("frame"), "signal", "detection")
 
 
 def videos(spark: SparkSession) -> DataFrame:
