@@ -229,3 +229,24 @@ def test_signal_intervals_and_sums_are_those_of_whole_signals_in_chunks_of_any_s
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, sums))
     # No window needs a whole signal.
     assert windows_of(got) and all("__chunk" in line for line in windows_of(got))
+
+
+def test_signal_labels_in_many_tasks_are_those_of_the_sql(spark, monkeypatch):
+    import duckdb
+
+    from trajekt.operators import shared
+    from trajekt.plans import fixtures, queries
+
+    calls, signals = [], fixtures.signals
+    monkeypatch.setattr(shared, "TASK_ROWS", 900)
+    monkeypatch.setattr(shared, "CHUNK_ROWS", 300)
+    monkeypatch.setattr(fixtures, "signals", lambda *a: calls.append(a) or signals(*a))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{SF}/events.parquet'")
+    for name in ("signal_walk_intervals", "signal_labels", "sliding_sum"):
+        cur = con.execute(queries.oracle_sql()[name])
+        cols = [c[0] for c in cur.description]
+        calls.clear()
+        got = queries.queries()[name](spark, SF).select(*cols).collect()
+        assert got and sorted(map(tuple, got)) == sorted(cur.fetchall())
+        assert len(calls) == 1
