@@ -250,3 +250,23 @@ def test_signal_labels_in_many_tasks_are_those_of_the_sql(spark, monkeypatch):
         got = queries.queries()[name](spark, SF).select(*cols).collect()
         assert got and sorted(map(tuple, got)) == sorted(cur.fetchall())
         assert len(calls) == 1
+
+
+def test_pairs_of_one_frame_are_whole_and_dealt_to_many_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from trajekt.operators import boxes, shared
+
+    for name, n in (("BLOCK", 7), ("UNIT", 28), ("TASK_PAIRS", 500)):
+        monkeypatch.setattr(boxes, name, n, raising=False)
+    monkeypatch.setattr(shared, "TASK_ROWS", 60, raising=False)
+    rng = np.random.default_rng(2)
+    # Many boxes in frame 0, few in others, none of a side in some, repeated boxes, frames unknown.
+    rows = [(None if k % 41 == 0 else 0 if k < 150 else int(rng.integers(1, 9)), int(k // 2), *map(float, rng.integers(0, 60, 2)), 20.0, float(k % 9)) for k in range(200)]
+    df = spark.createDataFrame(rows, "frame int, id long, x double, y double, w double, h double")
+    for left, right in ((rows, rows[:120]), (rows[:90], rows), (rows[:0], rows)):
+        a, b = (spark.createDataFrame(r, df.schema) for r in (left, right))
+        pairs = boxes.box_pairs(a, b)
+        assert pairs.columns == ["frame", *[f"{s}_{c}" for s in "ab" for c in ("id", *"xywh")]]
+        want = [(p[0], *p[1:], *q[1:]) for p in left for q in right if p[0] is not None and p[0] == q[0]]
+        assert sorted(map(tuple, pairs.collect())) == sorted(want)
+    assert boxes.box_pairs(df, df).where("frame = 0").select(F.spark_partition_id()).distinct().count() > 2
