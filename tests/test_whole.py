@@ -270,3 +270,52 @@ def test_pairs_of_one_frame_are_whole_and_dealt_to_many_tasks(spark, monkeypatch
         want = [(p[0], *p[1:], *q[1:]) for p in left for q in right if p[0] is not None and p[0] == q[0]]
         assert sorted(map(tuple, pairs.collect())) == sorted(want)
     assert boxes.box_pairs(df, df).where("frame = 0").select(F.spark_partition_id()).distinct().count() > 2
+
+
+def odd_boxes(spark, kind="double", negative=False):
+    """Boxes of two frames: some far from others, touching, empty, without values or with values that are not numbers."""
+    rng = np.random.default_rng(4)
+    rows = [(k % 2, k, *map(float, (rng.integers(0, 9) * 40, rng.integers(0, 4) * 20, rng.integers(0, 3) * 20, rng.integers(1, 60)))) for k in range(60)]
+    if kind == "double":
+        odd = [None, float("nan"), float("inf"), 1e200, 1e17, -0.0, 0.1 + 0.2] + [-float("inf"), -5.0] * negative
+        rows += [(k % 2, 100 + k, *(odd[k // 4] if c == k % 4 else 7.5 for c in range(4))) for k in range(4 * len(odd))]
+    return spark.createDataFrame(rows, "frame int, id long, x double, y double, w double, h double").selectExpr("frame", "id", *[f"cast({c} as {kind}) {c}" for c in "xywh"])
+
+
+def shares_of_all_pairs(d, shares):
+    """The shares of every pair of a frame by the formula alone, as texts."""
+    from pyspark.sql import functions as F
+
+    a, b = (d.select("frame", *[F.col(c).alias(f"{s}_{c}") for c in ("id", *"xywh")]) for s in "ab")
+    got = a.join(b, "frame").select("frame", "a_id", "b_id", *shares(*([F.col(f"{s}_{c}") for c in "xywh"] for s in "ab")))
+    return sorted(tuple(map(str, r)) for r in got.collect())
+
+
+def small_blocks(monkeypatch):
+    from trajekt.operators import boxes
+
+    for name, n in (("BLOCK", 5), ("UNIT", 15)):
+        monkeypatch.setattr(boxes, name, n)
+    return boxes
+
+
+def test_iob_of_boxes_apart_is_not_worked_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trajekt.functions import geometry as G
+
+    boxes = small_blocks(monkeypatch)
+    for kind in ("double", "float", "int", "decimal(9,2)"):
+        d = odd_boxes(spark, kind)
+        want = shares_of_all_pairs(d, lambda a, b: [c.alias(n) for n, c in zip(("iob_a", "iob_b"), G.iob(a, b))])
+        assert sorted(tuple(map(str, r)) for r in boxes.box_iob(d, d).collect()) == want
+    with pytest.raises(Exception, match="negative"):
+        boxes.box_iob(odd_boxes(spark, negative=True), odd_boxes(spark)).collect()
+    # A formula that fails shows where it is worked out: not for the pair of boxes apart, but for the one of boxes that meet.
+    fails = F.raise_error(F.lit("worked out")).cast("double")
+    monkeypatch.setattr(boxes, "iob", lambda a, b: (fails, fails))
+    d = spark.createDataFrame([(0, 1, 0.0, 0.0, 10.0, 10.0)], "frame int, id int, x double, y double, w double, h double")
+    for x, y in ((10.0, 0.0), (-10.0, 0.0), (0.0, 10.0), (0.0, -10.0), (500.0, 500.0)):
+        assert boxes.box_iob(d, d.withColumns({"x": F.lit(x), "y": F.lit(y)})).select("iob_a", "iob_b").collect() == [(0.0, 0.0)]
+    with pytest.raises(Exception, match="worked out"):
+        boxes.box_iob(d, d.withColumn("x", F.lit(9.5))).collect()
