@@ -319,3 +319,22 @@ def test_iob_of_boxes_apart_is_not_worked_out(spark, monkeypatch):
         assert boxes.box_iob(d, d.withColumns({"x": F.lit(x), "y": F.lit(y)})).select("iob_a", "iob_b").collect() == [(0.0, 0.0)]
     with pytest.raises(Exception, match="worked out"):
         boxes.box_iob(d, d.withColumn("x", F.lit(9.5))).collect()
+
+
+def test_inclusive_iou_of_boxes_apart_is_not_worked_out(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from trajekt.functions import geometry as G
+
+    boxes = small_blocks(monkeypatch)
+    for kind in ("double", "int"):
+        d = odd_boxes(spark, kind, True)
+        for inclusive in (True, False):
+            want = shares_of_all_pairs(d, lambda a, b: [G.iou(a, b, inclusive).alias("iou")])
+            assert sorted(tuple(map(str, r)) for r in boxes.box_iou(d, d, inclusive=inclusive).collect()) == want
+    # Pixels of boxes that touch are shared; a pixel further they are not, and nothing is worked out.
+    monkeypatch.setattr(boxes, "iou", lambda *a: F.raise_error(F.lit("worked out")).cast("double"))
+    d = spark.createDataFrame([(0, 1, 0.0, 0.0, 10.0, 10.0)], "frame int, id int, x double, y double, w double, h double")
+    assert boxes.box_iou(d, d.withColumn("x", F.lit(11.0)), inclusive=True).select("iou").collect() == [(0.0,)]
+    with pytest.raises(Exception, match="worked out"):
+        boxes.box_iou(d, d.withColumn("x", F.lit(10.0)), inclusive=True).collect()
