@@ -338,3 +338,19 @@ def test_inclusive_iou_of_boxes_apart_is_not_worked_out(spark, monkeypatch):
     assert boxes.box_iou(d, d.withColumn("x", F.lit(11.0)), inclusive=True).select("iou").collect() == [(0.0,)]
     with pytest.raises(Exception, match="worked out"):
         boxes.box_iou(d, d.withColumn("x", F.lit(10.0)), inclusive=True).collect()
+
+
+def test_blocks_apart_give_rows_from_ids_alone(spark, monkeypatch):
+    from trajekt.functions import geometry as G
+
+    boxes = small_blocks(monkeypatch)
+    # Boxes in a row, most blocks of which lie apart; some ids are unknown.
+    rows = [(k % 2, None if k % 7 == 0 else k, 9.0 * k, 0.0, 20.0, 10.0) for k in range(80)]
+    d = spark.createDataFrame(rows, "frame int, id long, x double, y double, w double, h double")
+    for got, shares in (
+        (boxes.box_iou(d, d, inclusive=True), lambda a, b: [G.iou(a, b, True).alias("iou")]),
+        (boxes.box_iob(d, d), lambda a, b: [c.alias(n) for n, c in zip(("iob_a", "iob_b"), G.iob(a, b))]),
+    ):
+        assert sorted(tuple(map(str, r)) for r in got.collect()) == shares_of_all_pairs(d, shares)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode(b_ids") == 1 and plan.count("Generate inline(b_boxes") == 1
